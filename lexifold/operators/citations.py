@@ -24,7 +24,8 @@ def valid_citations(replies: DataFrame, context: DataFrame) -> DataFrame:
         unicode_trim(F.col("citation.quote")).alias("quote"),
     )
     first = cited.groupBy("query_id", "label", "quote").agg(F.min("position").alias("position"))
-    return first.join(context, ["query_id", "label"]).select(
+    known = context.select("query_id", "label", "content", "document_key", *SOURCE_FIELDS)
+    return first.join(known, ["query_id", "label"]).select(
         "query_id",
         "position",
         "label",
