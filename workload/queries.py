@@ -290,8 +290,8 @@ def t16_parse_reply(spark, sf_dir):
             (F.col("item_id") % 3 != 0).alias("answerable"), F.col("text").alias("answer"),
             F.array(
                 F.struct(F.concat(F.lit("C"), F.col("item_id").cast("string")).alias("chunkId"), F.col("text").alias("quote")),
-                F.struct(F.lit("  ").alias("chunkId"), F.lit("boş").alias("quote")),
-                F.struct(F.lit("C1").alias("chunkId")),
+                F.struct(F.lit("  ").alias("chunkId"), F.col("text").alias("quote")),
+                F.struct(F.lit("C1").alias("chunkId"), F.lit(None).cast("string").alias("quote")),
             ).alias("citations"),
         )
     )
