@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +22,13 @@ DENSE_DIGITS = 6
 _RESULT = "query_id {id_type}, doc_no bigint, chunk_order int, dense_score double"
 
 
-def _matrix(vectors: list, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the given size as float64, and which rows have that size."""
-    fits = np.array([v is not None and len(v) == size for v in vectors], dtype=bool)
+def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    """Vectors of the given size as float64 rows; a vector of another size gives a row of zeros."""
     matrix = np.zeros((len(vectors), size))
-    for row in np.flatnonzero(fits):
-        matrix[row] = vectors[row]
-    return matrix, fits
+    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), size), False)
+    values = pc.list_flatten(vectors.filter(fits)).to_numpy(zero_copy_only=False)
+    matrix[np.flatnonzero(fits.to_numpy(zero_copy_only=False))] = values.reshape(-1, size)
+    return matrix
 
 
 def _cosines(queries: np.ndarray, chunks: np.ndarray) -> np.ndarray:
@@ -53,51 +54,46 @@ def _best(scores: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def _local_best(chunks: pd.DataFrame, query_ids: np.ndarray, query_vectors: list, pool: int) -> pd.DataFrame:
+def _local_best(chunks: pa.Table, queries: pa.Table, pool: int) -> pa.Table:
     """Best chunks of one block of chunks for one block of queries."""
-    chunks = chunks.sort_values(["doc_no", "chunk_order"], kind="stable", ignore_index=True)
-    lengths = np.array([len(v) for v in query_vectors])
+    chunks = chunks.sort_by([("doc_no", "ascending"), ("chunk_order", "ascending")]).combine_chunks()
+    sizes = pc.list_value_length(queries["vector"].combine_chunks())
     parts = []
-    for size in np.unique(lengths):
-        group = np.flatnonzero(lengths == size)
-        queries, _ = _matrix([query_vectors[i] for i in group], size)
-        # A chunk vector of another length keeps a row of zeros, whose similarity is 0.
-        matrix, _ = _matrix(list(chunks["embedding"]), size)
-        scores = _cosines(queries, matrix)
+    for size in pc.unique(sizes).to_pylist():
+        asked = queries.filter(pc.equal(sizes, size))
+        # A chunk vector of another length is a row of zeros, whose similarity is 0.
+        scores = _cosines(
+            _matrix(asked["vector"].combine_chunks(), size), _matrix(chunks["embedding"].combine_chunks(), size)
+        )
         rows, columns = _best(scores, pool)
         parts.append(
-            pd.DataFrame(
+            pa.table(
                 {
-                    "query_id": query_ids[group][rows],
-                    "doc_no": chunks["doc_no"].to_numpy()[columns],
-                    "chunk_order": chunks["chunk_order"].to_numpy()[columns],
+                    "query_id": asked["query_id"].take(pa.array(rows)),
+                    "doc_no": chunks["doc_no"].take(pa.array(columns)),
+                    "chunk_order": chunks["chunk_order"].take(pa.array(columns)),
                     "dense_score": scores[rows, columns],
                 }
             )
         )
-    return pd.concat(parts, ignore_index=True)
+    return pa.concat_tables(parts)
 
 
 def _with_broadcast_queries(vectors: DataFrame, queries: DataFrame, pool: int, schema: str) -> DataFrame:
-    collected = queries.select("query_id", "vector").toPandas()
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (collected["query_id"].to_numpy(), [np.asarray(v, dtype=np.float64) for v in collected["vector"]])
-    )
+    shared = vectors.sparkSession.sparkContext.broadcast(queries.select("query_id", "vector").toArrow())
 
-    def local_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_vectors = shared.value
+    def local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch) and len(query_ids):
-                yield _local_best(batch, query_ids, query_vectors, pool)
+            if batch.num_rows and shared.value.num_rows:
+                yield from _local_best(pa.Table.from_batches([batch]), shared.value, pool).combine_chunks().to_batches()
 
-    return vectors.mapInPandas(local_best, schema)
+    return vectors.mapInArrow(local_best, schema)
 
 
 def _with_blocked_queries(
-    vectors: DataFrame, queries: DataFrame, n_queries: int, pool: int, schema: str, options: RetrievalOptions
+    vectors: DataFrame, queries: DataFrame, query_blocks: int, pool: int, schema: str, options: RetrievalOptions
 ) -> DataFrame:
     """Too many queries to send everywhere: blocks of chunks meet blocks of queries on a pair of block numbers."""
-    query_blocks = -(-n_queries // options.max_broadcast_vectors) if options.max_broadcast_vectors else n_queries
     chunk_blocks = max(1, -(-vectors.count() // options.vectors_per_block))
 
     def block(count: int, *columns: str):
@@ -113,13 +109,14 @@ def _with_blocked_queries(
         "chunk_block", every(chunk_blocks)
     )
 
-    def local_best(chunks: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        if not len(chunks) or not len(some):
-            return pd.DataFrame({"query_id": [], "doc_no": [], "chunk_order": [], "dense_score": []})
-        return _local_best(chunks, some["query_id"].to_numpy(), list(some["vector"]), pool)
+    def local_best(chunks: pa.Table, some: pa.Table) -> pa.Table:
+        if not chunks.num_rows or not some.num_rows:
+            kinds = [some.schema.field("query_id").type, pa.int64(), pa.int32(), pa.float64()]
+            return pa.schema(zip(("query_id", "doc_no", "chunk_order", "dense_score"), kinds, strict=True)).empty_table()
+        return _local_best(chunks, some, pool)
 
     keys = ["chunk_block", "query_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(local_best, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(local_best, schema)
 
 
 def nearest_chunks(
@@ -129,11 +126,11 @@ def nearest_chunks(
     queries = queries.where(F.col("vector").isNotNull())
     vectors = vectors.select("doc_no", "chunk_order", "embedding")
     schema = _RESULT.format(id_type=queries.schema["query_id"].dataType.simpleString())
-    n_queries = queries.limit(options.max_broadcast_vectors + 1).count()
-    if n_queries <= options.max_broadcast_vectors:
+    values = queries.agg(F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0))).first()[0]
+    if values <= options.max_broadcast_values:
         local = _with_broadcast_queries(vectors, queries, pool, schema)
     else:
-        local = _with_blocked_queries(vectors, queries, queries.count(), pool, schema, options)
+        local = _with_blocked_queries(vectors, queries, -(-values // options.max_broadcast_values), pool, schema, options)
     window = Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "doc_no", "chunk_order")
     return (
         local.withColumn("rank", F.row_number().over(window))

@@ -79,7 +79,9 @@ def resolve_versions(hits: DataFrame, versions: DataFrame, as_of: datetime.date)
     A single-version document passes, even a superseded one. In a family of
     several versions only the one in effect is kept.
     """
-    families = current_versions(versions, as_of)
+    # Only families that were met are resolved; the hits are the small side of this join.
+    met_keys = hits.select("document_key").distinct()
+    families = current_versions(versions.join(met_keys, "document_key", "left_semi"), as_of)
     met = hits.join(families, "document_key", "left")
     multi = F.coalesce(F.col("n_versions") > 1, F.lit(False))
     kept = ~multi | F.coalesce(F.col("source_id") == F.col("current.source_id"), F.lit(False))

@@ -9,8 +9,10 @@ from dataclasses import dataclass
 class RetrievalOptions:
     """Sizes and thresholds of retrieval.
 
-    ``max_broadcast_rows`` is the largest query-side table that is shipped to
-    every executor; bigger batches take the shuffled plans instead.
+    ``max_broadcast_rows`` and ``max_broadcast_values`` bound the query-side
+    rows and vector components shipped to every executor; bigger batches take
+    the shuffled plans. Up to ``max_pruned_documents`` documents, a lookup
+    names the documents so that the other buckets are not read.
     """
 
     # Defaults of ranking, fusion and the evidence gate.
@@ -27,7 +29,8 @@ class RetrievalOptions:
 
     # Spark-side sizing.
     max_broadcast_rows: int = 500_000
-    max_broadcast_vectors: int = 8_192
+    max_broadcast_values: int = 16_000_000
+    max_pruned_documents: int = 1_000
     term_salts: int = 16
     vectors_per_block: int = 16_384
 

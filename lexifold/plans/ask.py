@@ -16,7 +16,7 @@ from lexifold.operators.validation import enough_evidence, refusal_reason, valid
 from lexifold.operators.versioning import Resolution, resolve_versions
 from lexifold.options import DEFAULTS, EmbeddingOptions, RetrievalOptions
 from lexifold.plans.index import KnowledgeIndex
-from lexifold.plans.search import PreparedQueries, prepare, search, search_within_documents
+from lexifold.plans.search import PreparedQueries, prepare, search, search_within_documents, with_chunks
 from lexifold.sources.scratch import materialize
 
 # Texts that are part of every response.
@@ -78,12 +78,10 @@ def build_context(
         "query_id", "doc_no", "replaced_rank"
     )
     substitutes = search_within_documents(
-        index, prepared, wanted.select("query_id", "doc_no"), options.substitute_sections, options
+        index, prepared, wanted.select("query_id", "doc_no"), options.substitute_sections, options, resolution.hits.count()
     ).join(wanted, ["query_id", "doc_no"])
-    placed = materialize(merge_substitutes(resolution.kept, substitutes, options.top_k), "context")
-    context = materialize(
-        placed.join(index.chunks.drop("embedding", "embedding_model"), ["doc_no", "chunk_order"]), "context-chunks"
-    )
+    placed = merge_substitutes(resolution.kept, substitutes, options.top_k)
+    context = materialize(with_chunks(index, placed, options), "context")
 
     facts = ("position", "label", "title", "version", "effective_date", "category", "section_path", "content")
     sources = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*facts))).alias("sources"))

@@ -8,12 +8,13 @@ file-name order and settle every tie.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexifold.operators.bm25 import document_frequencies, term_frequencies
+from lexifold.options import DEFAULTS, RetrievalOptions
 from lexifold.sources.scratch import new_folder
 from lexifold.sources.store import Store
 
@@ -57,6 +58,17 @@ class KnowledgeIndex:
     def vectors(self) -> DataFrame:
         return self.chunks.select("doc_no", "chunk_order", "embedding")
 
+    def near(self, rows: DataFrame, n_rows: int, options: RetrievalOptions = DEFAULTS) -> KnowledgeIndex:
+        """The index as seen by lookups of the documents in ``rows`` (``doc_no``; at most ``n_rows``).
+
+        Few documents are named in the filter, and the buckets of all others are skipped.
+        """
+        if n_rows > options.max_pruned_documents:
+            return self
+        numbers = [row[0] for row in rows.select("doc_no").distinct().collect()]
+        wanted = F.col("doc_no").isin(numbers) if numbers else F.lit(False)
+        return replace(self, chunks=self.chunks.where(wanted), postings=self.postings.where(wanted))
+
 
 def number_documents(documents: DataFrame) -> DataFrame:
     """Number documents by file name: increasing, not consecutive. Write the result before using it twice."""
@@ -102,6 +114,7 @@ def build_index(store: Store, model: str | None = None, path: str | None = None,
 
     chunk_names = CHUNK_COLUMNS.replace(",", "").split()[0::2]
     chunks = store.chunks.join(versions, "source_id").select(*chunk_names).repartition(buckets, "doc_no")
+    chunks = chunks.sortWithinPartitions("doc_no", "chunk_order")
     _write_bucketed(chunks, f"{path}/chunks", buckets)
     chunks = _read_bucketed(spark, CHUNK_COLUMNS, f"{path}/chunks", buckets)
 

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from lexifold.functions.text import query_embedding_text, tokens
 from lexifold.operators.bm25 import (
-    BY_COVERAGE,
-    BY_SCORE,
     CHUNK,
+    best_matches,
     distinct_query_terms,
-    rank_matches,
+    match_bounds,
     score_candidates,
     score_matches,
     weigh_query_terms,
@@ -23,7 +22,7 @@ from lexifold.operators.fusion import DENSE_LIST, LEXICAL_LIST, fuse
 from lexifold.operators.models import EmbedFn, embed_texts
 from lexifold.options import DEFAULTS, EmbeddingOptions, RetrievalOptions
 from lexifold.plans.index import HYBRID, LEXICAL, KnowledgeIndex
-from lexifold.sources.scratch import materialize
+from lexifold.sources.scratch import broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
@@ -72,11 +71,13 @@ def prepare(
     return PreparedQueries(base, terms, terms.count(), hybrid and not base.where(F.col("vector").isNotNull()).isEmpty())
 
 
-def _complete(fused: DataFrame, known: DataFrame, score_missing, columns: tuple[str, ...]) -> DataFrame:
-    """Scores of the fused hits: from their own pool, else computed for just those pairs."""
+def _complete(
+    fused: DataFrame, known: DataFrame, score_missing, columns: tuple[str, ...], n_rows: int, options: RetrievalOptions
+) -> DataFrame:
+    """Scores of the fused hits (``n_rows`` of them): from their own pool, else computed for just those pairs."""
     joined = fused.join(known, ["query_id", *CHUNK], "left")
     missing = joined.where(F.col(columns[0]).isNull()).select("query_id", *CHUNK)
-    late = score_missing(missing).select("query_id", *CHUNK, *[F.col(c).alias(f"late_{c}") for c in columns])
+    late = score_missing(broadcast_if_small(missing, n_rows, options.max_broadcast_rows)).select("query_id", *CHUNK, *[F.col(c).alias(f"late_{c}") for c in columns])
     return joined.join(late, ["query_id", *CHUNK], "left").select(
         *fused.columns, *[F.coalesce(c, f"late_{c}").alias(c) for c in columns]
     )
@@ -103,12 +104,10 @@ def search(
 
     small = prepared.n_terms <= options.max_broadcast_rows
     scored = score_matches(postings, prepared.terms, index.average_length, broadcast_terms=small, options=options)
-    ranked = materialize(rank_matches(scored, options.candidate_pool), "lexical-pool")
-    lexical = ranked.where(F.col("ranking") == BY_SCORE).drop("ranking")
-    coverage = (
-        ranked.where((F.col("ranking") == BY_COVERAGE) & (F.col("rank") == 1))
-        .select("query_id", F.col("coverage").alias("max_coverage"))
-    )
+    # Two passes over the postings instead of sorting every match: bounds first, then what reaches them.
+    bounds = materialize(match_bounds(scored, options.candidate_pool), "match-bounds")
+    lexical = materialize(best_matches(scored, bounds, options.candidate_pool), "lexical-pool")
+    coverage = bounds.select("query_id", "max_coverage")
 
     lists = lexical.select("query_id", F.lit(LEXICAL_LIST).alias("list_no"), "rank", *CHUNK)
     dense = None
@@ -133,17 +132,23 @@ def search(
         hits = fused.join(lexical_scores, ["query_id", *CHUNK]).withColumn("dense_score", F.lit(None).cast("double"))
     else:
         fused = materialize(fused, "fused")
+        n_fused = fused.count()
+        near = index.near(fused, n_fused, options)
         hits = _complete(
             fused,
             lexical_scores,
-            lambda pairs: score_candidates(index.postings, prepared.terms, pairs, index.average_length, options),
+            lambda pairs: score_candidates(near.postings, prepared.terms, pairs, index.average_length, options),
             ("score", "coverage"),
+            n_fused,
+            options,
         )
         hits = _complete(
             hits,
             dense.select("query_id", *CHUNK, "dense_score"),
-            lambda pairs: dense_scores(index.vectors, prepared.queries, pairs),
+            lambda pairs: dense_scores(near.vectors, prepared.queries, pairs),
             ("dense_score",),
+            n_fused,
+            options,
         )
     hits = hits.select(
         "query_id", "rank", *CHUNK, "fused_score",
@@ -174,8 +179,15 @@ def search_within_documents(
     documents: DataFrame,
     limit: int,
     options: RetrievalOptions = DEFAULTS,
+    n_documents: int | None = None,
 ) -> DataFrame:
-    """``query_id, doc_no`` -> the best ``limit`` chunks of each pair, ranked as a search of that document alone."""
+    """``query_id, doc_no`` -> the best ``limit`` chunks of each pair, ranked as a search of that document alone.
+
+    ``n_documents``: an upper bound of the pairs, where one is known.
+    """
+    if n_documents is not None:
+        index = index.near(documents, n_documents, options)
+        documents = broadcast_if_small(documents, n_documents, options.max_broadcast_rows)
     per = ("query_id", "doc_no")
     window = Window.partitionBy(*per)
 
@@ -194,6 +206,9 @@ def search_within_documents(
     return fuse(lists, ("chunk_order",), options.rrf_k, per).where(F.col("rank") <= limit)
 
 
-def with_chunks(index: KnowledgeIndex, hits: DataFrame) -> DataFrame:
-    """Hits with the chunk they point at. The planner sees the real size of the hits and decides on the join."""
-    return hits.join(index.chunks.drop("embedding", "embedding_model"), list(CHUNK))
+def with_chunks(index: KnowledgeIndex, hits: DataFrame, options: RetrievalOptions = DEFAULTS) -> DataFrame:
+    """Hits, counted first, with the chunk they point at."""
+    hits = materialize(hits, "hits")
+    n_hits = hits.count()
+    chunks = index.near(hits, n_hits, options).chunks.drop("embedding", "embedding_model")
+    return broadcast_if_small(hits, n_hits, options.max_broadcast_rows).join(chunks, list(CHUNK))

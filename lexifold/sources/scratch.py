@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDER = "lexifold"
 
@@ -31,6 +32,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{_FOLDER}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a source with fewer splits than cores, spread for CPU-bound text work; larger sources stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
+def broadcast_if_small(df: DataFrame, n_rows: int, max_rows: int) -> DataFrame:
+    """Hint a broadcast when the rows were counted, or bounded by a count, and are few; else leave the join to the planner."""
+    return F.broadcast(df) if n_rows <= max_rows else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession

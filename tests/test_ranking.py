@@ -64,7 +64,7 @@ def test_vector_expressions(spark):
     assert [r.c for r in rows] == pytest.approx([1.0, 0.0, 0.0, 0.0])
 
 
-@pytest.mark.parametrize("limit", [100, 4])
+@pytest.mark.parametrize("limit", [100, 30])
 def test_nearest_chunks_equals_brute_force(spark, limit):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 8)).astype("float32")
@@ -75,7 +75,7 @@ def test_nearest_chunks_equals_brute_force(spark, limit):
     vectors = spark.createDataFrame(chunks, "doc_no bigint, chunk_order int, embedding array<float>").repartition(5)
     query_rows = [(i, asked[i].tolist()) for i in range(9)] + [(9, None)]
     asked_df = spark.createDataFrame(query_rows, "query_id bigint, vector array<float>")
-    options = type(DEFAULTS)(max_broadcast_vectors=limit, vectors_per_block=7)
+    options = type(DEFAULTS)(max_broadcast_values=limit, vectors_per_block=7)
     got = nearest_chunks(vectors, asked_df, 6, options).collect()
     scores = base.astype(float) @ asked.astype(float).T
     scores /= np.linalg.norm(base.astype(float), axis=1)[:, None] * np.linalg.norm(asked.astype(float), axis=1)[None]
@@ -204,3 +204,12 @@ def test_per_query_limits_and_search_within_documents(spark):
     assert [(r.query_id, r.doc_no, r.chunk_order) for r in inside] == [
         (0, numbers["iade-v2"], 1), (0, numbers["iade-v2"], 0), (1, numbers["sss"], 0),
     ]
+
+
+def test_lookups_read_only_the_buckets_they_need(spark):
+    index = build_index(returns_store(spark))
+    hits = search(index, prepare(index, queries(spark, "ücretsiz kargo")), top_k=1).hits
+    plan = with_chunks(index, hits)._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 4" in plan
+    everything = with_chunks(index, hits, type(DEFAULTS)(max_pruned_documents=0))
+    assert everything.collect() == with_chunks(index, hits).collect()

@@ -196,13 +196,13 @@ def p9_duplicate_ids(spark, sf_dir):
 
 @query
 def t1_normalize(spark, sf_dir):
-    normalized = views.table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("normalized"))
+    normalized = views.documents(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("normalized"))
     return normalized.select("doc_id", F.length("normalized").cast("bigint").alias("n_chars"), F.md5("normalized").alias("normalized_md5"))
 
 
 @query
 def t2_tokens(spark, sf_dir):
-    terms = views.table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("terms"))
+    terms = views.documents(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms"))
     return terms.select("doc_id", F.size("terms").cast("bigint").alias("n_terms"), F.md5(F.array_join("terms", " ")).alias("terms_md5"))
 
 
@@ -490,7 +490,8 @@ def w1_lexical_topk(spark, sf_dir):
     bench = workbench(spark, sf_dir)
     prepared = bench.lexical_queries
     scored = bm25.score_matches(bench.index.postings, prepared.terms, bench.index.average_length, broadcast_terms=True)
-    ranked = bm25.rank_matches(scored, DEFAULTS.candidate_pool).where(F.col("ranking") == bm25.BY_SCORE)
+    bounds = materialize(bm25.match_bounds(scored, DEFAULTS.candidate_pool), "match-bounds")
+    ranked = bm25.best_matches(scored, bounds, DEFAULTS.candidate_pool)
     return bench.with_source(ranked).select("query_id", *_big("rank"), "source_id", *_big("chunk_order"), "score", "coverage")
 
 

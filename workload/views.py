@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexifold.operators.chunking import chunk_documents
+from lexifold.sources.scratch import spread
 from lexifold.sources.store import CHUNK_SCHEMA, DOCUMENT_SCHEMA, Store
 
 AS_OF = datetime.date(2025, 6, 1)
@@ -67,8 +68,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def kb_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DOCUMENTS_SQL.replace("from documents", "from {documents}"), documents=table(spark, sf_dir, "documents"))
+    return spark.sql(DOCUMENTS_SQL.replace("from documents", "from {documents}"), documents=documents(spark, sf_dir))
 
 
 def kb_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
