@@ -81,9 +81,12 @@ def _fold_table() -> tuple[str, str]:
 
 def _spell_out_hangul(text: Column) -> Column:
     """Write every Hangul syllable as its lead, vowel and tail letters."""
-    leads = F.array(*[F.lit(chr(0x1100 + i)) for i in range(19)])
-    vowels = F.array(*[F.lit(chr(0x1161 + i)) for i in range(21)])
-    tails = F.array(F.lit(""), *[F.lit(chr(0x11A8 + i)) for i in range(27)])
+    def letter_table(*letters: str) -> Column:
+        return F.split(F.lit(",".join(letters)), ",")
+
+    leads = letter_table(*(chr(0x1100 + i) for i in range(19)))
+    vowels = letter_table(*(chr(0x1161 + i) for i in range(21)))
+    tails = letter_table("", *(chr(0x11A8 + i) for i in range(27)))
 
     def letters(ch: Column) -> Column:
         index = F.ascii(ch) - _HANGUL_FIRST

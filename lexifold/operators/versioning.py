@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexifold.functions.versions import discard_reason, in_effect, version_key
+from lexifold.sources.scratch import materialize
 
 
 def current_versions(versions: DataFrame, as_of: datetime.date) -> DataFrame:
@@ -81,7 +82,8 @@ def resolve_versions(hits: DataFrame, versions: DataFrame, as_of: datetime.date)
     """
     # Only families that were met are resolved; the hits are the small side of this join.
     met_keys = hits.select("document_key").distinct()
-    families = current_versions(versions.join(met_keys, "document_key", "left_semi"), as_of)
+    met_versions = versions.join(met_keys, "document_key", "left_semi")
+    families = materialize(current_versions(met_versions, as_of), "families")
     met = hits.join(families, "document_key", "left")
     multi = F.coalesce(F.col("n_versions") > 1, F.lit(False))
     kept = ~multi | F.coalesce(F.col("source_id") == F.col("current.source_id"), F.lit(False))

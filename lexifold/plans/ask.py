@@ -181,7 +181,7 @@ def answer_questions(
     unavailable, 502 reply unusable. ``report_scope`` decides whether version
     resolution is reported for the cited families or for all retrieved ones.
     """
-    checked = materialize(validate_questions(questions, True, options), "questions")
+    checked = validate_questions(questions, True, options)
     valid = questions.drop("text").join(checked.where(F.col("status") == 200).select("query_id", "text"), "query_id")
     prepared = prepare(index, valid, embed, embedding)
     asked = build_context(index, prepared, as_of, options)

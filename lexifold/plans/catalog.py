@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexifold.functions.text import unicode_trim
 from lexifold.plans.index import LEXICAL, KnowledgeIndex
+from lexifold.sources.scratch import materialize
 from lexifold.sources.store import Store
 
 SUMMARY_FIELDS = ("source_id", "document_key", "title", "version", "effective_date", "status", "category", "supersedes")
@@ -41,9 +42,10 @@ def document_detail(store: Store, ids: DataFrame) -> DataFrame:
 def document_versions(versions: DataFrame) -> DataFrame:
     """Every version of every family, oldest effective date first, with the size of its family.
 
-    The order is a sort, split by the whole sort key, so one huge family is no single task.
+    One huge family is no single task: its rows are sorted by the whole key, and
+    against the written sizes a skewed join can be split.
     """
-    sizes = versions.groupBy("document_key").agg(F.count(F.lit(1)).alias("n_versions"))
+    sizes = materialize(versions.groupBy("document_key").agg(F.count(F.lit(1)).alias("n_versions")), "family-sizes")
     return versions.join(sizes, "document_key").orderBy("document_key", "effective_date", "file_name")
 
 

@@ -19,6 +19,7 @@ from lexifold.sources.scratch import new_folder
 from lexifold.sources.store import Store
 
 HYBRID, LEXICAL = "hybrid", "lexical"
+DOCUMENTS_PER_BUCKET = 100_000
 
 VERSION_SCHEMA = (
     "doc_no bigint, source_id string, file_name string, document_key string, title string, version string, "
@@ -102,15 +103,16 @@ def _read_bucketed(spark: SparkSession, columns: str, path: str, buckets: int) -
 def build_index(store: Store, model: str | None = None, path: str | None = None, buckets: int | None = None) -> KnowledgeIndex:
     """Write the index tables of a store. ``model`` is the embedder's name, None without an embedder.
 
-    ``buckets`` fixes the parallelism of searches; size it so that a bucket of
-    postings fits a task (default: the session's shuffle partitions).
+    ``buckets`` fixes the parallelism of searches; by default it grows with the
+    documents, so that a bucket stays the work of one task.
     """
     spark = store.documents.sparkSession
     path = path or new_folder(spark, "index")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     number_documents(store.documents).write.parquet(f"{path}/versions")
     versions = spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions")
+    n_documents = versions.count()
+    buckets = buckets or max(spark.sparkContext.defaultParallelism, -(-n_documents // DOCUMENTS_PER_BUCKET))
 
     chunk_names = CHUNK_COLUMNS.replace(",", "").split()[0::2]
     chunks = store.chunks.join(versions, "source_id").select(*chunk_names).repartition(buckets, "doc_no")
@@ -127,7 +129,6 @@ def build_index(store: Store, model: str | None = None, path: str | None = None,
 
     totals = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     seen = vectors_usable(chunks, model).first()
-    n_documents = versions.count()
     spark.range(1).select(
         F.lit(n_documents).cast("bigint").alias("n_documents"),
         F.lit(seen["chunks"]).cast("bigint").alias("n_chunks"),
