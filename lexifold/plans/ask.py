@@ -86,11 +86,12 @@ def build_context(
     facts = ("position", "label", "title", "version", "effective_date", "category", "section_path", "content")
     sources = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*facts))).alias("sources"))
     # A question whose hits were all discarded is still asked, with an empty context.
+    no_sources = F.array().cast(sources.schema["sources"].dataType)
     prompts = (
         prepared.queries.select("query_id", "text")
         .join(answerable, "query_id", "left_semi")
         .join(sources, "query_id", "left")
-        .select("query_id", F.coalesce(prompt_text(F.col("text"), F.col("sources")), prompt_text(F.col("text"), F.array().cast(sources.schema["sources"].dataType))).alias("prompt"))
+        .select("query_id", prompt_text(F.col("text"), F.coalesce("sources", no_sources)).alias("prompt"))
     )
     return AskContext(retrieval, hits, resolution, context, prompts)
 
