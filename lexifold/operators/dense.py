@@ -19,6 +19,8 @@ from lexifold.functions.vectors import cosine_similarity, stable
 from lexifold.options import DEFAULTS, RetrievalOptions
 
 DENSE_DIGITS = 6
+# Keeps the score matrix of a batch small, however many queries there are.
+QUERIES_AT_ONCE = 512
 _RESULT = "query_id {id_type}, doc_no bigint, chunk_order int, dense_score double"
 
 
@@ -60,22 +62,23 @@ def _local_best(chunks: pa.Table, queries: pa.Table, pool: int) -> pa.Table:
     sizes = pc.list_value_length(queries["vector"].combine_chunks())
     parts = []
     for size in pc.unique(sizes).to_pylist():
-        asked = queries.filter(pc.equal(sizes, size))
+        same_size = queries.filter(pc.equal(sizes, size))
         # A chunk vector of another length is a row of zeros, whose similarity is 0.
-        scores = _cosines(
-            _matrix(asked["vector"].combine_chunks(), size), _matrix(chunks["embedding"].combine_chunks(), size)
-        )
-        rows, columns = _best(scores, pool)
-        parts.append(
-            pa.table(
-                {
-                    "query_id": asked["query_id"].take(pa.array(rows)),
-                    "doc_no": chunks["doc_no"].take(pa.array(columns)),
-                    "chunk_order": chunks["chunk_order"].take(pa.array(columns)),
-                    "dense_score": scores[rows, columns],
-                }
+        matrix = _matrix(chunks["embedding"].combine_chunks(), size)
+        for start in range(0, same_size.num_rows, QUERIES_AT_ONCE):
+            asked = same_size.slice(start, QUERIES_AT_ONCE).combine_chunks()
+            scores = _cosines(_matrix(asked["vector"].combine_chunks(), size), matrix)
+            rows, columns = _best(scores, pool)
+            parts.append(
+                pa.table(
+                    {
+                        "query_id": asked["query_id"].take(pa.array(rows)),
+                        "doc_no": chunks["doc_no"].take(pa.array(columns)),
+                        "chunk_order": chunks["chunk_order"].take(pa.array(columns)),
+                        "dense_score": scores[rows, columns],
+                    }
+                )
             )
-        )
     return pa.concat_tables(parts)
 
 

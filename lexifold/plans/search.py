@@ -71,6 +71,16 @@ def prepare(
     return PreparedQueries(base, terms, terms.count(), hybrid and not base.where(F.col("vector").isNotNull()).isEmpty())
 
 
+def within(postings: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Postings of the allowed chunks. Joined on the bucketing key alone, so two bucketed tables meet without a shuffle."""
+    orders = allowed.groupBy("doc_no").agg(F.collect_set("chunk_order").alias("allowed_orders"))
+    return (
+        postings.join(orders, "doc_no")
+        .where(F.array_contains("allowed_orders", F.col("chunk_order")))
+        .drop("allowed_orders")
+    )
+
+
 def _complete(
     fused: DataFrame, known: DataFrame, score_missing, columns: tuple[str, ...], n_rows: int, options: RetrievalOptions
 ) -> DataFrame:
@@ -98,9 +108,8 @@ def search(
     """
     postings, vectors = index.postings, index.vectors
     if where is not None:
-        allowed = index.chunks.where(where).select(*CHUNK)
-        postings = postings.join(allowed, list(CHUNK), "left_semi")
-        vectors = vectors.join(allowed, list(CHUNK), "left_semi")
+        allowed = index.chunks.where(where)
+        postings, vectors = within(postings, allowed), allowed.select(*CHUNK, "embedding")
 
     small = prepared.n_terms <= options.max_broadcast_rows
     scored = score_matches(postings, prepared.terms, index.average_length, broadcast_terms=small, options=options)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from helpers import queries, returns_store, store
 from lexifold import DEFAULTS, build_index, load_index, prepare, search, with_chunks
 from lexifold.functions.vectors import cosine_similarity, unit_length
-from lexifold.operators.bm25 import score_matches, weigh_query_terms
+from lexifold.operators.bm25 import best_matches, match_bounds, score_matches, term_frequencies, weigh_query_terms
 from lexifold.operators.dense import dense_scores, nearest_chunks
 from lexifold.operators.fusion import fuse
-from lexifold.plans.search import search_within_documents
+from lexifold.plans.search import search_within_documents, within
 
 MODEL = "test-model"
 
@@ -100,12 +100,38 @@ def test_index_tables_and_status(spark):
     assert again.n_chunks == 6 and again.chunks.count() == 6
 
 
-def test_scoring_does_not_shuffle_postings(spark):
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_nothing_is_shuffled_where_the_buckets_suffice(spark):
     index = build_index(returns_store(spark))
     prepared = prepare(index, queries(spark, "iade kargo"))
     scored = score_matches(index.postings, prepared.terms, index.average_length, broadcast_terms=True)
-    plan = scored._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert exchanges(scored) == 0
+    assert exchanges(term_frequencies(index.chunks)) == 0
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        allowed = within(index.postings, index.chunks.where("category = 'sss'"))
+        filtered = score_matches(allowed, prepared.terms, index.average_length, broadcast_terms=True)
+        assert "SortMergeJoin" in filtered._jdf.queryExecution().executedPlan().toString() and exchanges(filtered) == 0
+        assert {r.doc_no for r in filtered.collect()} == {r.doc_no for r in index.versions.where("category = 'sss'").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_best_matches_equal_a_plain_sort(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(q), int(d), int(o), float(s), float(s) / 9) for q in range(4) for d in range(40) for o in range(2)
+            if (s := rng.integers(0, 6 if q else 1)) >= 0 and (q < 3 or d < 3)]
+    scored = spark.createDataFrame(rows, "query_id bigint, doc_no bigint, chunk_order int, score double, coverage double").repartition(7)
+    bounds = match_bounds(scored, 5)
+    got = {(r.query_id, r["rank"]): (r.doc_no, r.chunk_order) for r in best_matches(scored, bounds, 5).collect()}
+    for q in range(4):
+        expected = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1], r[2]))[:5]
+        assert [got.get((q, i + 1)) for i in range(len(expected))] == [(r[1], r[2]) for r in expected]
+    assert {r.query_id: r.max_coverage for r in bounds.collect()} == {q: max(r[4] for r in rows if r[0] == q) for q in range(4)}
 
 
 def test_empty_corpus(spark):
