@@ -489,7 +489,10 @@ def a14_status(spark, sf_dir):
 def w1_lexical_topk(spark, sf_dir):
     bench = workbench(spark, sf_dir)
     prepared = bench.lexical_queries
-    scored = bm25.score_matches(bench.index.postings, prepared.terms, bench.index.average_length, broadcast_terms=True)
+    scored = bm25.score_matches(
+        bench.index.postings, prepared.terms, bench.index.average_length,
+        broadcast_terms=prepared.n_terms <= DEFAULTS.max_broadcast_rows,
+    )
     bounds = materialize(bm25.match_bounds(scored, DEFAULTS.candidate_pool), "match-bounds")
     ranked = bm25.best_matches(scored, bounds, DEFAULTS.candidate_pool)
     return bench.with_source(ranked).select("query_id", *_big("rank"), "source_id", *_big("chunk_order"), "score", "coverage")
