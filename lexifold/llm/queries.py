@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import chat
+from lexifold.llm import chat, planes
+from lexifold.sources.scratch import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,21 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is on this machine and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as ids in bit-plane files, and back from the files."""
+    path = new_folder(spark, "planes")
+    planes.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return planes.read_checksums(spark, path)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_bit_planes": op2_bit_planes,
 }
