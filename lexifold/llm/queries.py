@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import chat, planes
+from lexifold.llm import chat, golay, planes
 from lexifold.sources.scratch import new_folder
 
 
@@ -50,7 +50,13 @@ def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_checksums(spark, path)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and the components of those at 2 or fewer bits."""
+    return golay.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bit_planes": op2_bit_planes,
+    "op5_simhash": op5_simhash,
 }
