@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import chat, golay, planes
+from lexifold.llm import chat, crf, golay, planes, secret_scan
 from lexifold.sources.scratch import new_folder
 
 
@@ -55,8 +55,35 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base numbers and verdict of all texts by a field trained on labelled documents."""
+    documents = table(spark, sf_dir, "documents")
+    return crf.judge(documents, crf.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all texts, each different text scanned once and noted in a ledger."""
+    folder = new_folder(spark, "ledger")
+    versions = secret_scan.versions(table(spark, sf_dir, "documents"))
+    secret_scan.scan(versions, folder)
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    found = secret_scan.findings(versions, folder)
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    base = of(*kinds)
+    return found.select(
+        F.col("path").alias("doc_id"), *counts, F.sha2(secret_scan.describe(base), 256).alias("base_sha256"),
+        secret_scan.describe(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bit_planes": op2_bit_planes,
     "op5_simhash": op5_simhash,
+    "op7_line_field": op7_line_field,
+    "op9_blob_ledger": op9_blob_ledger,
 }
