@@ -45,51 +45,70 @@ class PlaneFormat:
     level: int = 3
 
 
-class WordTokenizer:
-    """Encodes whole texts word by word, remembering what it has encoded.
+class WordTokenizer(dict):
+    """Encodes whole texts word by word: a dictionary from words to their ids that learns what it lacks.
 
     For a tokenizer that drops white space and never joins across it, a text's ids are its words' ids one after the
-    other. Words of printable ASCII are cut by the tokenizer's own rule and given to its model; any other word takes
-    the tokenizer's whole path. At most ``most`` words are remembered at a time.
+    other. Words of printable ASCII and the letters of Latin-1 are cut by the tokenizer's own rule and given to its
+    model; any other word takes the tokenizer's whole path. Of each kind, twice ``most`` entries are remembered: when
+    a generation is full, what was used since the last one is kept.
     """
 
-    # Fixed value: the tokenizer file's splitting rule, on lower-case ASCII.
-    ASCII_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+    # The tokenizer file's splitting rule on lower-case text, and the parts it is right for.
+    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+"
+    PLAIN = r"(?!.*<\|)[!-~\xdf-\xf6\xf8-\xff]+"
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.rule, self.most = Tokenizer.from_file(path), re.compile(self.ASCII_RULE), most
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        rest = []
-        for word in words:
-            text = word.decode()
-            if text.isascii() and text.isprintable() and "<|" not in text:
-                ids = b""
-                for part in self.rule.findall(text.lower()):
-                    if part not in self.parts:
-                        self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
-                    ids += self.parts[part]
-                self.words[word] = ids
-            else:
-                rest.append(word)
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
+        super().__init__()
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        self.cut, self.plain = re.compile(self.RULE).findall, re.compile(self.PLAIN).fullmatch
+        self.older: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes | None] = {}
+        # The byte alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = iter(range(256, 512))
+        self.alphabet = [chr(b if b in shown else next(other)) for b in range(256)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            text, parts = word.decode(), self.parts
+            try:
+                ids = b"".join([parts[part] if part in parts else self._part(part) for part in self.cut(text.lower())])
+            except TypeError:  # a part that only the whole path can take
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes | None:
+        if len(self.parts) >= 2 * self.most:
+            self.parts.clear()
+        ids = None
+        if self.plain(part):
+            letters = part if part.isascii() else "".join([self.alphabet[b] for b in part.encode()])
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        self.parts[part] = ids
+        return ids
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        known = self.words
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                self.parts.clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        return b"".join([known[w] for w in words])
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this worker process, which later tasks use again with all that it has learnt."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_held_by_path", {})
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 def shuffle_planes(ids: np.ndarray, planes: str) -> list[bytes]:
@@ -113,7 +132,7 @@ def _block_writer(tokenizer_path: str, end_id: int, form: PlaneFormat):
         import zstandard
 
         shard = TaskContext.get().partitionId()
-        tokenizer, press = WordTokenizer(tokenizer_path), zstandard.ZstdCompressor(level=form.level)
+        tokenizer, press = worker_tokenizer(tokenizer_path), zstandard.ZstdCompressor(level=form.level)
         end = np.array([end_id], "<u4").tobytes()
         waiting, slices, held, start, row, block = [], [], 0, 0, 0, 0
         size = 4 * form.block_ids
@@ -129,7 +148,7 @@ def _block_writer(tokenizer_path: str, end_id: int, form: PlaneFormat):
             waiting, slices, held, block = [], [], 0, block + 1
             return out
 
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             closed = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = tokenizer.encode(text or b"") + end
