@@ -27,4 +27,63 @@ select conv_id, cast(count(*) as bigint) as n_turns,
 from j group by conv_id
 """
 
-ORACLES = {"op1_chat_format": OP1}
+
+
+def _shared(nodes: str, parent: str, child: str, out: str) -> str:
+    """One level of the tree: the budget of each parent divided among its children."""
+    join = f"join {nodes}_up p using ({parent})" if parent else f"cross join {nodes}_up p"
+    over = f"partition by {parent}" if parent else ""
+    alike = f"partition by {parent + ', ' if parent else ''}is_full"
+    order = "order by case when weight > 0 then capacity / cast(weight as double) else 'inf'::double end, " + child
+    return f"""
+{out}_a as (
+  select n.*, p.budget as up, cast(p.budget as hugeint) - coalesce(sum(capacity) over (w rows between unbounded preceding and 1 preceding), 0) as remains,
+    sum(weight) over (w rows between current row and unbounded following) as open_weight
+  from {nodes} n {join} window w as ({over} {order})
+), {out}_b as (
+  select *, weight > 0 and capacity * open_weight <= remains * weight as is_full from {out}_a
+), {out}_c as (
+  select *, sum(weight) over ({alike} {order} rows between unbounded preceding and current row) as upto,
+    sum(weight) over ({alike}) as whole, max(remains) over ({alike}) as rest from {out}_b
+), {out} as (
+  select *, case when is_full then capacity when whole > 0 then (rest * upto) // whole - (rest * (upto - weight)) // whole else 0 end as budget from {out}_c
+)"""
+
+
+LANG_WEIGHT = "case lang when 'en' then 4 when 'de' then 2 when 'fr' then 3 when 'es' then 1 else 1 end"
+SOURCE_WEIGHT = "case when domain = 'books' and lang = 'en' and source = 'src1' then 3 when domain = 'forum' and source = 'src12' then 0 else 1 end"
+DOMAIN_WEIGHT = "case domain when 'web' then 3 when 'books' then 5 when 'forum' then 2 else 1 end"
+OP3 = f"""
+with docs as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, lang as own_lang, source as own_source,
+    case when source = 'src0' then 'web' when source in ('src1', 'src2', 'src3', 'src4', 'src5') then 'books' else 'forum' end as domain,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as hugeint) as n
+  from documents
+), leaves as (
+  select domain, lang, source, sum(n) as tokens, case when {SOURCE_WEIGHT} = 0 then 0 else 3 * sum(n) end as capacity, {SOURCE_WEIGHT} as weight
+  from docs group by domain, lang, source
+), langs as (
+  select domain, lang, sum(capacity) as capacity, {LANG_WEIGHT} as weight from leaves group by domain, lang
+), domains as (
+  select domain, sum(capacity) as capacity, {DOMAIN_WEIGHT} as weight from leaves group by domain
+), domains_up as (
+  select least(sum(capacity), (sum(tokens) * 60) // 100) as budget from leaves
+), {_shared("domains", "", "domain", "d")},
+langs_up as (select domain, budget from d), {_shared("langs", "domain", "lang", "l")},
+leaves_up as (select domain, lang, budget from l), {_shared("leaves", "domain, lang", "source", "s")},
+plan as (
+  select domain, lang, source, case when tokens > 0 then budget // tokens else 0 end as full_epochs,
+    case when tokens > 0 then budget % tokens else 0 end as rest from s
+), placed as (
+  select docs.*, full_epochs, rest, sha256('17:' || full_epochs || ':' || doc_id) as key from docs join plan using (domain, lang, source)
+), started as (
+  select *, coalesce(sum(n) over (partition by domain, lang, source order by key rows between unbounded preceding and 1 preceding), 0) as start from placed
+), taken as (
+  select *, unnest(range(0, cast(full_epochs as bigint) + case when start < rest then 1 else 0 end)) as epoch from started
+)
+select doc_id, domain, own_lang as lang, own_source as source, epoch, cast(n as bigint) as n_tokens,
+  cast(case when epoch < full_epochs then n else least(n, rest - start) end as bigint) as take_tokens
+from taken
+"""
+
+ORACLES = {"op3_mixture": OP3, "op1_chat_format": OP1}

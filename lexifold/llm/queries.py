@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import chat, crf, golay, planes, secret_scan
+from lexifold.llm import chat, crf, golay, mixing, planes, secret_scan, toxicity, url_models
 from lexifold.sources.scratch import new_folder
 
 
@@ -50,11 +50,40 @@ def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_checksums(spark, path)
 
 
+# Which domain a source belongs to, and the weights of the tree.
+DOMAIN_SQL = "case when source = 'src0' then 'web' when source in ('src1', 'src2', 'src3', 'src4', 'src5') then 'books' else 'forum' end"
+MIXTURE = mixing.Mixture(
+    percent=60,
+    weights={"web": 3, "books": 5, "forum": 2, "*/en": 4, "*/de": 2, "*/fr": 3, "*/es": 1, "books/en/src1": 3, "forum/*/src12": 0},
+    max_epochs=3,
+)
+
+
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents: sixty percent of their words, up to three epochs of a source."""
+    documents = table(spark, sf_dir, "documents").withColumn("domain", F.expr(DOMAIN_SQL))
+    return mixing.mix(documents, MIXTURE).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
+
+
+def op4_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All urls, judged by the rules and, where none fits, by the models of accepted and rejected urls."""
+    return url_models.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and the components of those at 2 or fewer bits."""
     return golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by a machine that never saw the labels of the held-out rows."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    documents = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(documents, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(documents, machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base numbers and verdict of all texts by a field trained on labelled documents."""
     documents = table(spark, sf_dir, "documents")
@@ -83,7 +112,10 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bit_planes": op2_bit_planes,
+    "op3_mixture": op3_mixture,
+    "op4_url_models": op4_url_models,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_line_field": op7_line_field,
     "op9_blob_ledger": op9_blob_ledger,
 }
