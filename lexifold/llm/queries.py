@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import chat, crf, golay, mixing, planes, secret_scan, toxicity, url_models
+from lexifold.llm import chat, crf, golay, mixing, pieces, planes, secret_scan, toxicity, url_models
 from lexifold.sources.scratch import new_folder
 
 
@@ -90,6 +90,17 @@ def op7_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.judge(documents, crf.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every text, and whether decoding it gives the text back."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model, keep=("text",))
+    decoded = pieces.decode(encoded, model, keep=("text", "ids"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all texts, each different text scanned once and noted in a ledger."""
     folder = new_folder(spark, "ledger")
@@ -117,5 +128,6 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_line_field": op7_line_field,
+    "op8_sampled_pieces": op8_sampled_pieces,
     "op9_blob_ledger": op9_blob_ledger,
 }
