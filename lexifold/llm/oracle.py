@@ -86,4 +86,24 @@ select doc_id, domain, own_lang as lang, own_source as source, epoch, cast(n as
 from taken
 """
 
-ORACLES = {"op3_mixture": OP3, "op1_chat_format": OP1}
+OP10 = """
+with recursive good as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98
+), reach as (
+  select vec_id as a, vec_id as b from good union select r.a, p.b from reach r join pairs p on r.b = p.a
+), tops as (
+  select a as vec_id, min(b) as component_id from reach group by a
+), links as (
+  select a as vec_id, count(*) as n from pairs group by a
+)
+select e.vec_id, cast(coalesce(n, 0) as bigint) as n_links, coalesce(component_id, e.vec_id) as component_id,
+  coalesce(e.vec_id = coalesce(component_id, e.vec_id), false) as kept
+from embeddings e left join tops using (vec_id) left join links using (vec_id)
+"""
+
+ORACLES = {"op10_cover_tree": OP10, "op3_mixture": OP3, "op1_chat_format": OP1}

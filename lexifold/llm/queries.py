@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import chat, crf, golay, mixing, pieces, planes, secret_scan, toxicity, url_models
+from lexifold.llm import chat, cover_tree, crf, golay, mixing, pieces, planes, secret_scan, toxicity, url_models
 from lexifold.sources.scratch import new_folder
 
 
@@ -120,6 +120,11 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a cosine of 0.98 and components of all vectors, by label."""
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bit_planes": op2_bit_planes,
@@ -130,4 +135,5 @@ QUERIES = {
     "op7_line_field": op7_line_field,
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_blob_ledger": op9_blob_ledger,
+    "op10_cover_tree": op10_cover_tree,
 }
