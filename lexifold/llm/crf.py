@@ -271,3 +271,18 @@ def content_lines(documents: DataFrame, field: Field) -> DataFrame:
                 )
 
     return _texts(documents).mapInArrow(run, "doc_id long, line long, text string, content boolean")
+
+
+def keep(documents: DataFrame, field: Field, options: FieldOptions = FieldOptions()) -> DataFrame:
+    """The rows of ``documents`` (doc_id, text and any others) that the verdict keeps; no row is moved."""
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdict = _judge(field, options)
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            few = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), texts], ["doc_id", "text"])
+            kept = next(verdict(iter([few]))).column("kept")
+            yield batch.filter(kept)
+
+    return documents.mapInArrow(run, documents.schema)

@@ -159,3 +159,21 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("stop"))
     return F.aggregate(spans, begin, step, lambda at: F.concat(at["out"], F.substr(text, (at["stop"] + 1).cast("int"))))
+
+
+def redact_all(documents: DataFrame, folder: str, rules: tuple = RULES, mask: str = "[SECRET]") -> DataFrame:
+    """``documents`` (text and any others) with the secrets that the ledger has of each text masked.
+
+    Where a text changes and there is a column ``n_chars``, that is its new length. Only texts with a finding are
+    joined to it; null texts stay null.
+    """
+    found = read_ledger(documents.sparkSession, folder, rules).where(F.size("spans") > 0).dropDuplicates(["blob"])
+    found = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    rows = documents.withColumn("_blob_of", blob).join(found, F.col("_blob_of") == F.col("_blob"), "left")
+    rows = rows.withColumn("_new", F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"), mask)))
+    changed = {"text": F.coalesce("_new", "text")}
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col("n_chars"))
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns])
