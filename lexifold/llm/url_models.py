@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 # The rules of the registered query.
@@ -163,7 +164,7 @@ def score(url: bytes, models: tuple[MarkovModel, MarkovModel] | None) -> float:
 
 def with_scores(urls: DataFrame, models: tuple[MarkovModel, MarkovModel] | None, column: str = "url") -> DataFrame:
     """``urls`` with the column ``score``."""
-    schema = urls.schema.add("score", "double")
+    schema = StructType([*urls.schema.fields, StructField("score", DoubleType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
