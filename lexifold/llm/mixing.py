@@ -164,15 +164,11 @@ def mix(documents: DataFrame, mixture: Mixture, tokens: Column | None = None, do
     row = documents.select(F.struct(*kept).alias("row"), leaf.alias("leaf"), F.col(doc_id).cast("string").alias("_id"), counted.alias("n_tokens"))
     ends = cutoffs(materialize(row.select("leaf", "_id", "n_tokens"), "marked"), mixture)
     rows = row.join(ends, "leaf").withColumn("key", _key(F.col("whole_epochs"), mixture.seed))
-    last = F.when(F.col("key") < F.col("cut_key"), F.col("n_tokens")).when(
-        F.col("key") == F.col("cut_key"), F.least("n_tokens", F.col("rest") - F.col("cut_start"))
-    )
-    whole = F.when(F.col("whole_epochs") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole_epochs") - 1)).otherwise(F.array().cast("array<long>"))
-    takes = F.concat(
-        F.transform(whole, lambda e: F.struct(e.alias("epoch"), F.col("n_tokens").alias("take"))),
-        F.when(last.isNotNull(), F.array(F.struct(F.col("whole_epochs").alias("epoch"), last.alias("take")))).otherwise(
-            F.array().cast("array<struct<epoch:long,take:long>>")
-        ),
-    )
-    out = rows.select("row", "n_tokens", F.explode(takes).alias("taken"))
-    return out.select("row.*", F.col("taken.epoch").alias("epoch"), "n_tokens", F.col("taken.take").alias("take_tokens"))
+    none = F.array().cast("array<long>")
+    last = F.when(F.col("key") <= F.col("cut_key"), F.array("whole_epochs")).otherwise(none)
+    whole = F.when(F.col("whole_epochs") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole_epochs") - 1)).otherwise(none)
+    # Counts of tokens are derived after the rows are multiplied, so a caller who drops them does not pay for them.
+    out = rows.select("*", F.explode(F.concat(whole, last)).alias("epoch"))
+    ends_here = (F.col("epoch") == F.col("whole_epochs")) & (F.col("key") == F.col("cut_key"))
+    take = F.when(ends_here, F.least("n_tokens", F.col("rest") - F.col("cut_start"))).otherwise(F.col("n_tokens"))
+    return out.select("row.*", "epoch", "n_tokens", take.alias("take_tokens"))

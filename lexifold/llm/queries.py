@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexifold.llm import chat, cover_tree, crf, golay, mixing, pieces, planes, secret_scan, toxicity, url_models
-from lexifold.sources.scratch import new_folder
+from lexifold.sources.scratch import materialize, new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,9 @@ MIXTURE = mixing.Mixture(
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents: sixty percent of their words, up to three epochs of a source."""
     documents = table(spark, sf_dir, "documents").withColumn("domain", F.expr(DOMAIN_SQL))
-    return mixing.mix(documents, MIXTURE).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
+    words = documents.select("doc_id", "domain", "lang", "source", mixing.n_words(F.col("text")).alias("words"))
+    words = materialize(words, "words")  # the texts are read once
+    return mixing.mix(words, MIXTURE, F.col("words")).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
 
 
 def op4_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
