@@ -23,6 +23,9 @@ _CHUNK_LIST = "array<struct<section_path:string,content:string>>"
 _OPEN_HEADINGS = "array<struct<level:int,text:string>>"
 PATH_SEPARATOR = " > "
 
+# Sizing: items that a fold takes together, see ``_fold``.
+FOLD_GROUP = 64
+
 
 def has_section(body: Column) -> Column:
     """True when some line outside the headings has text, so at least one chunk results."""
@@ -45,34 +48,60 @@ def heading_sections(body: Column) -> Column:
     return F.transform(F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), _HEADING_AHEAD), section)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; a lambda that uses an expression twice evaluates it twice."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _fold(items: Column, carry: Column, kind: str, step) -> Column:
+    """(carry, out) after all ``items``; ``step(carry, item)`` gives the next carry and an array to append to ``out``.
+
+    Appending copies what is there already. So ``out`` grows by groups of items, each an array of its own, and is
+    flattened once at the end: the time of a document grows with its length, not with the square.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(state: Column, item: Column) -> Column:
+        return _let(step(state["carry"], item), lambda made: F.struct(
+            made["carry"].alias("carry"), F.concat(state["out"], made["out"]).alias("out")
+        ))
+
+    def group(state: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(state["carry"].alias("carry"), none.alias("out")), one)
+        return _let(done, lambda d: F.struct(d["carry"].alias("carry"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+    def grouped(items: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(FOLD_GROUP))
+        return F.transform(firsts, lambda first: F.slice(items, first, F.lit(FOLD_GROUP)))
+
+    start = F.struct(carry.alias("carry"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(_let(items, grouped), start, group, lambda s: F.struct(s["carry"].alias("carry"), F.flatten(s["out"]).alias("out")))
+
+
 def addressed_sections(sections: Column, title: Column) -> Column:
     """Array of (section_path, content) of the sections that have text of their own.
 
-    The state of the fold is the list of headings still open; a heading closes
+    What the fold carries is the list of headings still open; a heading closes
     those of its own level and deeper. Level 1 repeats the title and is not
     part of the path.
     """
+    none = F.array().cast(_CHUNK_LIST)
 
-    def follow(state: Column, section: Column) -> Column:
-        still_open = F.filter(state["open"], lambda h: h["level"] < section["level"])
-        opened = F.when(
-            section["level"] > 0,
-            F.concat(still_open, F.array(F.struct(section["level"].alias("level"), section["text"].alias("text")))),
-        ).otherwise(state["open"])
-        return F.struct(opened.alias("open"), state["out"].alias("out"))
-
-    def emit(state: Column, section: Column) -> Column:
-        followed = follow(state, section)
-        below_title = F.transform(F.filter(followed["open"], lambda h: h["level"] > 1), lambda h: h["text"])
-        path = F.when(F.size(below_title) > 0, F.array_join(below_title, PATH_SEPARATOR)).otherwise(title)
-        entry = F.array(F.struct(path.alias("section_path"), section["content"].alias("content")))
-        return F.struct(
-            followed["open"].alias("open"),
-            F.when(section["content"] != "", F.concat(state["out"], entry)).otherwise(state["out"]).alias("out"),
-        )
+    def follow(still: Column, section: Column) -> Column:
+        heading = F.struct(section["level"].alias("level"), section["text"].alias("text"))
+        kept = F.filter(still, lambda h: h["level"] < section["level"])
+        return F.when(section["level"] > 0, F.concat(kept, F.array(heading))).otherwise(still)
 
-    start = F.struct(F.array().cast(_OPEN_HEADINGS).alias("open"), F.array().cast(_CHUNK_LIST).alias("out"))
-    return F.aggregate(sections, start, emit, lambda state: state["out"])
+    def emit(still: Column, section: Column) -> Column:
+        def entry(now: Column) -> Column:
+            below_title = F.transform(F.filter(now, lambda h: h["level"] > 1), lambda h: h["text"])
+            path = F.when(F.size(below_title) > 0, F.array_join(below_title, PATH_SEPARATOR)).otherwise(title)
+            made = F.array(F.struct(path.alias("section_path"), section["content"].alias("content")))
+            return F.struct(now.alias("carry"), F.when(section["content"] != "", made).otherwise(none).alias("out"))
+
+        return _let(follow(still, section), entry)
+
+    return _fold(sections, F.array().cast(_OPEN_HEADINGS), "struct<section_path:string,content:string>", emit)["out"]
 
 
 def pack_paragraphs(content: Column, max_chars: int = MAX_CHUNK_CHARS) -> Column:
@@ -80,16 +109,18 @@ def pack_paragraphs(content: Column, max_chars: int = MAX_CHUNK_CHARS) -> Column
     paragraphs = F.filter(
         F.transform(F.split(content, PARAGRAPH_BREAK_PATTERN), unicode_trim), lambda paragraph: paragraph != ""
     )
+    none = F.array().cast("array<string>")
 
-    def pack(parts: Column, paragraph: Column) -> Column:
-        last = F.get(parts, F.size(parts) - 1)
-        fits = (F.size(parts) > 0) & (utf16_length(last) + 2 + utf16_length(paragraph) <= max_chars)
-        joined = F.array(F.concat(last, F.lit("\n\n"), paragraph))
-        # slice() rejects a negative length even in a branch that is not taken.
-        before = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-        return F.when(fits, F.concat(before, joined)).otherwise(F.concat(parts, F.array(paragraph)))
+    def pack(last: Column, paragraph: Column) -> Column:
+        fits = (last != "") & (utf16_length(last) + 2 + utf16_length(paragraph) <= max_chars)
+        return F.struct(
+            F.when(fits, F.concat(last, F.lit("\n\n"), paragraph)).otherwise(paragraph).alias("carry"),
+            F.when(fits | (last == ""), none).otherwise(F.array(last)).alias("out"),
+        )
 
-    packed = F.aggregate(paragraphs, F.array().cast("array<string>"), pack)
+    packed = _let(_fold(paragraphs, F.lit(""), "string", pack), lambda p: F.when(p["carry"] == "", p["out"]).otherwise(
+        F.concat(p["out"], F.array(p["carry"]))
+    ))
     return F.when(utf16_length(content) <= max_chars, F.array(content)).otherwise(packed)
 
 
