@@ -7,6 +7,7 @@ file-name order and settle every tie.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from dataclasses import dataclass, replace
 
@@ -48,6 +49,7 @@ class KnowledgeIndex:
     n_terms: int
     mode: str
     embedding_model: str | None
+    built_at: datetime.datetime
     path: str
 
     @property
@@ -55,6 +57,11 @@ class KnowledgeIndex:
         """At least 1, also for an empty corpus."""
         return max(1.0, self.n_terms / self.n_chunks) if self.n_chunks else 1.0
 
+    @property
+    def summary(self) -> DataFrame:
+        """One row: the counts and the mode, as written with the index."""
+        return self.chunks.sparkSession.read.schema(SUMMARY_COLUMNS).parquet(f"{self.path}/summary")
+
     @property
     def vectors(self) -> DataFrame:
         return self.chunks.select("doc_no", "chunk_order", "embedding")
@@ -96,8 +103,12 @@ def _write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
 
 def _read_bucketed(spark: SparkSession, columns: str, path: str, buckets: int) -> DataFrame:
     name = f"lexifold_{uuid.uuid4().hex[:12]}"
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc_no) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(name)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc_no) INTO {buckets} BUCKETS LOCATION '{place}'")
+    table = spark.table(name)
+    # The table is resolved by now; the catalogue entry of this external table only carried the bucketing.
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def build_index(store: Store, model: str | None = None, path: str | None = None, buckets: int | None = None) -> KnowledgeIndex:
@@ -155,5 +166,6 @@ def load_index(spark: SparkSession, path: str) -> KnowledgeIndex:
         n_terms=summary["n_terms"],
         mode=summary["mode"],
         embedding_model=summary["embedding_model"],
+        built_at=summary["built_at"],
         path=path,
     )

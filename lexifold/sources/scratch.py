@@ -1,35 +1,58 @@
 """Intermediate tables that several later steps read.
 
-They are written to the shared folder of ``spark.checkpoint.dir`` and read
-back: the lineage ends there, a lost executor costs nothing, and the planner
-knows the real size of the table when it decides whether to broadcast it.
+They are written to the shared folder of ``spark.checkpoint.dir`` (else the
+session's warehouse) and read back: the lineage ends there, a lost executor
+costs nothing, and the planner knows the real size of the table when it decides
+whether to broadcast it.
+
+All tables of a run lie in one folder. ``scratch_run`` opens a run for a block
+of code and removes its folder at the end; outside such a block the run is that
+of the application, and ``close_scratch`` removes it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDER = "lexifold"
+_RUN: ContextVar[str | None] = ContextVar("lexifold_run", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """A folder that every executor reaches."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    # One process, one machine: a temporary folder is reachable by all of it.
-    folder = tempfile.mkdtemp(prefix="lexifold-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{_FOLDER}/{_RUN.get() or spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{_FOLDER}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def close_scratch(spark: SparkSession) -> None:
+    """Remove all tables of the current run. What was read from them, results not yet written included, is gone."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """A run of its own: write the results inside the block, as its tables are removed at the end."""
+    token = _RUN.set(f"run-{uuid.uuid4().hex[:12]}")
+    try:
+        yield
+    finally:
+        close_scratch(spark)
+        _RUN.reset(token)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
