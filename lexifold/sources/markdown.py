@@ -25,6 +25,10 @@ CATEGORIES = ("politika", "prosedur", "kilavuz", "sss")
 _OPENING, _CLOSING = "---\n", "\n---\n"
 # Anything that starts in the first column must be "key:", a comment or a list item of an ignored key.
 _UNREADABLE_LINE = r"(?m)^(?![A-Za-z0-9_.-]+[ \t]*:([ \t]|$))[^\s#\-\]}]"
+# A field of the document has to be one flat value: no block or flow form, anchor, alias or tag, and no line that goes on below.
+_KEYS = "|".join(FIELDS)
+_NOT_FLAT = rf"(?m)^(?:{_KEYS})[ \t]*:[ \t]+[|>&*!\[{{%@`]"
+_GOES_ON = rf"(?m)^(?:{_KEYS})[ \t]*:[^\n]*\n+[ \t]+[^\s#]"
 
 
 def read_markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +99,7 @@ def parse_markdown(files: DataFrame) -> DataFrame:
     error = (
         F.when(F.col("closing").isNull(), "front_matter_missing")
         .when(F.col("closing") == 0, "front_matter_unclosed")
-        .when(F.col("header").rlike(_UNREADABLE_LINE) | repeated, "front_matter_unreadable")
+        .when(F.col("header").rlike(_UNREADABLE_LINE) | F.col("header").rlike(_NOT_FLAT) | F.col("header").rlike(_GOES_ON) | repeated, "front_matter_unreadable")
         .when(missing("title"), "field_missing:title")
         .when(~has_section(F.col("body")), "section_missing")
         .when(missing("id"), "field_missing:id")

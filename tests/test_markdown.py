@@ -67,3 +67,10 @@ def test_folder_scan(spark, tmp_path):
 def test_missing_folder_is_named(spark, tmp_path):
     with pytest.raises(AnalysisException, match="yok"):
         read_markdown_folder(spark, str(tmp_path / "yok"))
+
+
+def test_values_that_are_not_flat_are_rejected(spark):
+    for written in ("title: >\n  uzun", "title: |\n  uzun", "title: &x [a, b]", "title: *x", "title: !!str a", "title: [a, b]", "title: {a: b}", "title: bir\n  iki", "title:\n  ic: x"):
+        assert parse(spark, VALID.replace("title: İade Politikası", written)).error == "front_matter_unreadable", written
+    for written in ("title: bir > iki & üç", "title: 'a' # not\n# satır", "title: a\netiket: [x, y]\nliste:\n  - bir"):
+        assert parse(spark, VALID.replace("title: İade Politikası", written)).error is None, written
