@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -16,7 +17,7 @@ from lexifold.operators.validation import enough_evidence, refusal_reason, valid
 from lexifold.operators.versioning import Resolution, resolve_versions
 from lexifold.options import DEFAULTS, EmbeddingOptions, RetrievalOptions
 from lexifold.plans.index import KnowledgeIndex
-from lexifold.plans.search import PreparedQueries, prepare, search, search_within_documents, with_chunks
+from lexifold.plans.search import PreparedQueries, prepare, require_unique, search, search_within_documents, with_chunks
 from lexifold.sources.scratch import materialize
 
 # Texts that are part of every response.
@@ -165,8 +166,23 @@ def _listed(rows: DataFrame, order: tuple[str, ...], entry, name: str) -> DataFr
     return rows.groupBy("query_id").agg(F.transform(keyed, lambda r: r["entry"]).alias(name))
 
 
+def _scoped_report(resolution: Resolution, outcome: ValidatedAnswers, scope: str) -> DataFrame:
+    """Versions of the cited families for answered questions; of all retrieved families for refused ones."""
+    report = version_report(resolution)
+    if scope == RETRIEVED:
+        return report
+    refused = outcome.answers.where("valid and not answerable").select("query_id")
+    cited = version_report(resolution, outcome.citations.select("query_id", "document_key"))
+    return cited.unionByName(report.join(refused, "query_id", "left_semi").select(*cited.columns))
+
+
+def _refused_outright(checked: DataFrame) -> DataFrame:
+    """Responses to questions that cannot be asked at all, shaped like the others."""
+    return checked.select("query_id", F.col("text").alias("question"), "status", "message_code", F.lit(False).alias("answerable"))
+
+
 def answer_questions(
-    index: KnowledgeIndex,
+    index: KnowledgeIndex | None,
     questions: DataFrame,
     generate: GenerateFn,
     as_of: datetime.date,
@@ -175,23 +191,31 @@ def answer_questions(
     report_scope: str = CITED,
     strip_cited_quotes: bool = True,
     options: RetrievalOptions = DEFAULTS,
+    parallel_calls: int | None = None,
 ) -> DataFrame:
     """One row per question: status, answer or refusal, and the whole response as JSON.
 
-    ``status``: 200 answered or refused, 400 invalid question, 503 generator
-    unavailable, 502 reply unusable. ``report_scope`` decides whether version
-    resolution is reported for the cited families or for all retrieved ones.
+    ``status``: 200 answered or refused, 400 invalid question, 503 no index
+    (then only the first columns are there) or generator unavailable, 502 reply
+    unusable. ``report_scope`` decides whether version resolution is reported
+    for the cited families of an answer or for all retrieved ones; a refusal
+    always reports all. ``latency_ms`` is the time of the batch's retrieval,
+    for which every question waits, and of the question's own model call.
     """
-    checked = validate_questions(questions, True, options)
+    checked = validate_questions(require_unique(questions), index is not None, options)
+    if index is None:
+        return _refused_outright(checked)
+    started = time.monotonic()
     valid = questions.drop("text").join(checked.where(F.col("status") == 200).select("query_id", "text"), "query_id")
     prepared = prepare(index, valid, embed, embedding)
     asked = build_context(index, prepared, as_of, options)
-    generated = materialize(generate_answers(asked.prompts, generate), "generated")
+    retrieval_ms = int((time.monotonic() - started) * 1000)
+    generated = generate_answers(asked.prompts, generate, parallel_calls=parallel_calls)
+    generated = materialize(generated.withColumn("latency_ms", F.col("latency_ms") + F.lit(retrieval_ms)), "generated")
     outcome = validate_answers(
         generated.where(F.col("failure").isNull()).select("query_id", "reply"), asked.context, strip_cited_quotes
     )
-    cited = outcome.citations.select("query_id", "document_key")
-    report = materialize(version_report(asked.resolution, cited if report_scope == CITED else None), "report")
+    report = materialize(_scoped_report(asked.resolution, outcome, report_scope), "report")
 
     date = F.date_format("effective_date", "yyyy-MM-dd").alias("effectiveDate")
     version_ref = (F.col("source_id").alias("documentId"), F.col("title"), F.col("version"), date)
@@ -254,6 +278,8 @@ def answer_questions(
     )
     reason = F.when(status == 200, F.when(~F.col("evidence"), "LowRelevance").otherwise(F.col("late_refusal")))
 
+    latency = F.coalesce("latency_ms", F.when(F.col("input_status") == 200, F.lit(retrieval_ms)).otherwise(0)).cast("bigint")
+
     def listed(name: str):
         return F.coalesce(name, F.array().cast(joined.schema[name].dataType))
 
@@ -273,12 +299,12 @@ def answer_questions(
         F.coalesce("missing_information", F.lit("")).alias("missing_information"),
         reason.alias("refusal_reason"),
         F.coalesce("model", F.lit("")).alias("model"),
-        F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"),
+        latency.alias("latency_ms"),
         F.struct(
             F.col("mode").alias("retrievalMode"), F.col("max_dense").alias("maxDenseScore"),
             F.col("max_coverage").alias("maxLexicalCoverage"), listed("candidates").alias("candidateDocumentIds"),
             listed("labels").alias("context"), F.coalesce("model", F.lit("")).alias("model"),
-            F.coalesce("latency_ms", F.lit(0)).alias("latencyMs"),
+            latency.alias("latencyMs"),
             F.col("input_tokens").alias("inputTokens"), F.col("output_tokens").alias("outputTokens"),
         ).alias("diagnostics"),
     )

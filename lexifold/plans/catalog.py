@@ -52,12 +52,14 @@ def document_versions(versions: DataFrame) -> DataFrame:
 def status(index: KnowledgeIndex | None, spark, generator: str | None = None, embedder: str | None = None) -> DataFrame:
     """One row: ``ok`` when there is an index and a generator is configured, else ``degraded``."""
     ready = index is not None
-    return spark.range(1).select(
+    nothing = "cast(0 as bigint) as n_documents", "cast(0 as bigint) as n_chunks", f"'{LEXICAL}' as mode"
+    known = index.summary if ready else spark.range(1).selectExpr(*nothing)
+    return known.select(
         F.lit("ok" if ready and generator else "degraded").alias("status"),
         F.lit(ready).alias("ready"),
-        F.lit(index.n_documents if ready else 0).cast("bigint").alias("documents"),
-        F.lit(index.n_chunks if ready else 0).cast("bigint").alias("sections"),
-        F.lit(index.mode if ready else LEXICAL).alias("retrieval_mode"),
+        F.col("n_documents").alias("documents"),
+        F.col("n_chunks").alias("sections"),
+        F.col("mode").alias("retrieval_mode"),
         F.lit(generator is not None).alias("generator_configured"),
         F.lit(embedder is not None).alias("embedder_configured"),
     )

@@ -22,11 +22,14 @@ EMBEDDING_UNAVAILABLE = "embedding_unavailable"
 
 
 class IngestRejected(ValueError):
-    """The source is not acceptable; nothing is changed. ``code`` says why, ``detail`` names the culprit."""
+    """The source is not acceptable; nothing is changed.
 
-    def __init__(self, code: str, detail: str = "") -> None:
+    ``code`` says why, ``detail`` names the first culprit; ``rows`` has all of them where there can be many.
+    """
+
+    def __init__(self, code: str, detail: str = "", rows: DataFrame | None = None) -> None:
         super().__init__(f"{code}: {detail}" if detail else code)
-        self.code, self.detail = code, detail
+        self.code, self.detail, self.rows = code, detail, rows
 
 
 @dataclass(frozen=True)
@@ -45,10 +48,10 @@ def check_sources(catalog: DataFrame) -> None:
         raise IngestRejected(first["error"], first["file_name"])
     if catalog.isEmpty():
         raise IngestRejected("knowledge_base_empty")
-    # The ids go into a message, which names the first few; the check itself covers all.
-    repeated = [row["source_id"] for row in duplicate_ids(catalog).orderBy("source_id").limit(100).collect()]
-    if repeated:
-        raise IngestRejected("duplicate_document_id", ", ".join(repeated))
+    repeated = duplicate_ids(catalog)
+    count, first = repeated.agg(F.count(F.lit(1)), F.min("source_id")).first()
+    if count:
+        raise IngestRejected("duplicate_document_id", first if count == 1 else f"{first} and {count - 1} more", repeated)
 
 
 def next_documents(plan: DataFrame, run_at: datetime.datetime | None) -> DataFrame:

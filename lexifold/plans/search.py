@@ -20,6 +20,7 @@ from lexifold.operators.bm25 import (
 from lexifold.operators.dense import dense_scores, nearest_chunks
 from lexifold.operators.fusion import DENSE_LIST, LEXICAL_LIST, fuse
 from lexifold.operators.models import EmbedFn, embed_texts
+from lexifold.operators.validation import validate_queries
 from lexifold.options import DEFAULTS, EmbeddingOptions, RetrievalOptions
 from lexifold.plans.index import HYBRID, LEXICAL, KnowledgeIndex
 from lexifold.sources.scratch import broadcast_if_small, materialize
@@ -60,7 +61,8 @@ def prepare(
     if hybrid and "vector" not in queries.columns and embed is not None:
         settings = embedding or EmbeddingOptions(model=index.embedding_model)
         base = embed_texts(
-            base.withColumn("embed_text", query_embedding_text(F.col("text"), settings.query_prefix)), embed, batch_size=1
+            base.withColumn("embed_text", query_embedding_text(F.col("text"), settings.query_prefix)),
+            embed, settings.batch_size, retry_single=True,
         ).drop("embed_text", "embed_error")
     elif not hybrid or "vector" not in queries.columns:
         base = base.drop("vector").withColumn("vector", F.lit(None).cast("array<float>"))
@@ -182,6 +184,38 @@ def search(
     return SearchResult(hits, stats)
 
 
+def search_requests(
+    index: KnowledgeIndex | None,
+    requests: DataFrame,
+    embed: EmbedFn | None = None,
+    embedding: EmbeddingOptions | None = None,
+    where: Column | None = None,
+    options: RetrievalOptions = DEFAULTS,
+) -> tuple[DataFrame, SearchResult | None]:
+    """Checks, then searches: ``requests`` (``query_id, text, top_k[, vector]``) -> answers per request, and the hits.
+
+    The first has ``query_id, text, top_k, status, message_code`` of every
+    request: 400 for a blank or too long text or a ``top_k`` out of range, 503
+    without an index. Only requests with status 200 are searched.
+    """
+    checked = materialize(validate_queries(require_unique(requests), index is not None, options), "requests")
+    if index is None:
+        return checked, None
+    valid = checked.where(F.col("status") == 200).select("query_id", "text", "top_k")
+    if "vector" in requests.columns:
+        valid = valid.join(requests.select("query_id", "vector"), "query_id")
+    return checked, search(index, prepare(index, valid, embed, embedding), where=where, options=options)
+
+
+def require_unique(queries: DataFrame) -> DataFrame:
+    """``queries`` if no ``query_id`` is repeated or missing; otherwise their hits would be mixed up."""
+    repeated = queries.groupBy("query_id").count().where((F.col("count") > 1) | F.col("query_id").isNull())
+    count, first = repeated.agg(F.count(F.lit(1)), F.min("query_id")).first()
+    if count:
+        raise ValueError(f"query_id has to be unique: {count} values are not, {first} among them")
+    return queries
+
+
 def search_within_documents(
     index: KnowledgeIndex,
     prepared: PreparedQueries,

@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import AS_OF
-from helpers import queries, returns_store, store
+from helpers import queries, garden_store, store
 from lexifold import answer_questions, append_audit_log, build_context, build_index, prepare
 from lexifold.functions.answers import clean_answer, outranks, parse_reply, source_label
 from lexifold.functions.versions import version_key
 from lexifold.operators.citations import valid_citations
+from lexifold.operators.models import generate_answers
 from lexifold.operators.validation import enough_evidence, validate_queries, validate_questions
 from lexifold.operators.versioning import resolve_versions
 from lexifold.options import RetrievalOptions
@@ -30,25 +31,26 @@ def test_source_labels(spark):
 
 def test_answer_markers(spark):
     cases = {
-        "30 gün içinde iade edilir [C1].": "30 gün içinde iade edilir.",
-        '30 gün içinde iade edilir [C1, "30 gün içinde."].': "30 gün içinde iade edilir.",
-        "Kargo ücretsizdir (C2) ve 750 TL üzeri geçerlidir.": "Kargo ücretsizdir ve 750 TL üzeri geçerlidir.",
-        "Kargo ücretsizdir [C1][C3] (C2, C3).": "Kargo ücretsizdir.",
-        "  İşaret yok.  ": "İşaret yok.",
-        "(Cuma) kapalı": "(Cuma) kapalı",
+        "[C2] Kapı yedide açılır": "Kapı yedide açılır",
+        "Su (C1) sabah, gübre [C4, \"torba\"] akşam verilir": "Su sabah, gübre akşam verilir",
+        "Bitti\t [C1] [C2](C3 , C12)": "Bitti",
+        "iki  boşluk\t\tkalmaz": "iki boşluk kalmaz",
+        "C1 çıplak, [D1] yabancı, (bkz. C1) eksik": "C1 çıplak, [D1] yabancı, (bkz. C1) eksik",
+        "": "",
     }
     assert evaluate(spark, *[clean_answer(F.lit(a)) for a in cases]) == list(cases.values())
 
 
 def test_copies_of_cited_quotes(spark):
-    quote = F.array(F.lit("30 gün içinde iade edilir."), F.lit(""))
+    quotes = F.array(F.lit("sabah sulanır"), F.lit(""), F.lit("torba"))
     cases = {
-        'İade olur. "30 gün içinde iade edilir."': "İade olur.",
-        "İade olur. “30 gün içinde iade edilir.”": "İade olur.",
-        'Buna göre "30 gün içinde iade edilir." Süre teslimle başlar.': "Buna göre Süre teslimle başlar.",
-        'Boş "" kalır': 'Boş "" kalır',
+        'Kural: "sabah sulanır" böyledir': "Kural: böyledir",
+        "“torba” ve \"torba\" iki kez": "ve iki kez",
+        'Başka söz "akşam sulanır" durur': 'Başka söz "akşam sulanır" durur',
+        "tırnaksız sabah sulanır durur": "tırnaksız sabah sulanır durur",
+        'İçi boş "" durur': 'İçi boş "" durur',
     }
-    assert evaluate(spark, *[clean_answer(F.lit(a), quote) for a in cases]) == list(cases.values())
+    assert evaluate(spark, *[clean_answer(F.lit(a), quotes) for a in cases]) == list(cases.values())
 
 
 def test_evidence_gate(spark):
@@ -194,49 +196,72 @@ def quote_first(messages):
 
 @pytest.fixture(scope="module")
 def index(spark):
-    return build_index(returns_store(spark))
+    return build_index(garden_store(spark))
 
 
 def ask(spark, index, question, generate=quote_first, **options):
     return answer_questions(index, queries(spark, question), generate, AS_OF, **options).first()
 
 
-def test_answer_names_version_section_and_discarded_version(spark, index, tmp_path):
-    answers = answer_questions(index, queries(spark, "İade süresi kaç gün?", "Uzay gemisi nerede kiralanır?", "  ", "a" * 501), quote_first, AS_OF)
+WATERING = "Parseller sulanır mı?"
+
+
+def test_answer_names_version_section_and_discarded_versions(spark, index, tmp_path):
+    far = "Uçak kaçta kalkar?"
+    answers = answer_questions(index, queries(spark, WATERING, far, "  ", "a" * 501), quote_first, AS_OF)
     rows = {r.query_id: r for r in answers.collect()}
     assert [rows[i].status for i in range(4)] == [200, 200, 400, 400]
     assert [rows[i].message_code for i in range(4)] == [None, None, "question_required", "question_too_long"]
     answered = rows[0]
     assert answered.answerable and answered.refusal_reason == ""
-    assert answered.answer == "Ürün teslim alındıktan sonra 30 gün içinde iade edilebilir."
+    assert answered.answer == "Parseller sabah yediden önce damlama hattıyla sulanır."
     (source,) = answered.sources
     assert (source.documentId, source.version, source.effectiveDate, source.section, source.quoteVerified) == (
-        "iade-v2", "2.0", "2025-06-01", "2. İade Süresi", True)
+        "parsel-2025", "1.5", "2025-03-01", "Sulama", True)
     assert answered.version_resolution.applied
-    assert [v.documentId for v in answered.version_resolution.selected] == ["iade-v2"]
-    assert [v.documentId for v in answered.version_resolution.discarded] == ["iade-v1"]
+    assert [v.documentId for v in answered.version_resolution.selected] == ["parsel-2025"]
+    assert {v.documentId for v in answered.version_resolution.discarded} == {"parsel-2023", "parsel-2027"}
     refused = rows[1]
     assert (refused.answerable, refused.refusal_reason, refused.answer, refused.sources) == (False, "LowRelevance", NOT_ENOUGH_INFORMATION, [])
-    assert not refused.version_resolution.applied and refused.model == ""
+    assert not refused.version_resolution.applied and refused.model == "" and refused.latency_ms > 0
     body = json.loads(answered.response_json)
     assert body["diagnostics"]["retrievalMode"] == "lexical" and body["diagnostics"]["inputTokens"] == 10
-    assert body["diagnostics"]["candidateDocumentIds"][0] in ("iade-v1", "iade-v2") and body["missingInformation"] == ""
-    assert "İade" in answered.response_json and json.loads(refused.response_json)["diagnostics"]["inputTokens"] is None
+    assert body["diagnostics"]["candidateDocumentIds"][0].startswith("parsel-") and body["missingInformation"] == ""
+    assert body["diagnostics"]["latencyMs"] == answered.latency_ms >= refused.latency_ms
+    assert "sürüm" in answered.response_json and json.loads(refused.response_json)["diagnostics"]["inputTokens"] is None
 
     append_audit_log(answers, str(tmp_path / "log"))
     logged = spark.read.parquet(str(tmp_path / "log")).collect()
-    assert {r.question for r in logged} == {"İade süresi kaç gün?", "Uzay gemisi nerede kiralanır?"}
+    assert {r.question for r in logged} == {WATERING, far}
 
 
 def test_context_leaves_out_discarded_versions(spark, index):
-    asked = build_context(index, prepare(index, queries(spark, "İade süresi kaç gün?")), AS_OF)
+    asked = build_context(index, prepare(index, queries(spark, WATERING)), AS_OF)
     context = asked.context.orderBy("position").collect()
     assert [c.label for c in context] == [f"C{i + 1}" for i in range(len(context))]
-    assert "iade-v1" not in {c.source_id for c in context} and "iade-v2" in {c.source_id for c in context}
+    assert {c.source_id for c in context} == {"parsel-2025"}
     prompt = asked.prompts.first()["prompt"]
     first = context[0]
     assert prompt.startswith(f"KAYNAKLAR:\n\n[C1] {first.title} | sürüm {first.version} | yürürlük {first.effective_date} | tür: {first.category}\nBölüm: {first.section_path}\n{first.content}\n\n")
-    assert prompt.endswith("SORU: İade süresi kaç gün?")
+    assert prompt.endswith(f"SORU: {WATERING}")
+
+
+def test_no_index_and_repeated_questions(spark, index):
+    asked = queries(spark, WATERING, " ", "a" * 501)
+    got = [(r.status, r.message_code, r.answerable) for r in answer_questions(None, asked, quote_first, AS_OF).orderBy("query_id").collect()]
+    assert got == [(503, "index_not_ready", False), (400, "question_required", False), (400, "question_too_long", False)]
+    with pytest.raises(ValueError, match="unique"):
+        answer_questions(index, asked.union(asked), quote_first, AS_OF)
+
+
+def test_prompts_are_spread_over_tasks(spark):
+    from pyspark import TaskContext
+
+    def where(messages):
+        return {**reply(False), "model": str(TaskContext.get().partitionId())}
+
+    prompts = spark.range(40).selectExpr("id as query_id", "'x' as prompt").coalesce(1)
+    assert len({r.model for r in generate_answers(prompts, where, parallel_calls=6).collect()}) > 3
 
 
 def test_substitutes_take_the_place_of_the_outdated_hit(spark):
@@ -257,22 +282,24 @@ def test_substitutes_take_the_place_of_the_outdated_hit(spark):
 
 
 def test_report_scope(spark, index):
-    def cite_shipping(messages):
-        label, _, _, content = next(s for s in sources_of(messages) if "Belge kargo" in s[1])
+    question = "Kompost torbaları, anahtar"
+
+    def cite_compost(messages):
+        label, _, _, content = next(s for s in sources_of(messages) if "Kompost rehberi" in s[1])
         return reply(answer=content, citations=[(label, content)])
 
-    cited = ask(spark, index, "Kargo ücreti ne kadar?", cite_shipping)
-    assert [s.documentId for s in cited.sources] == ["kargo"]
+    cited = ask(spark, index, question, cite_compost)
+    assert [s.documentId for s in cited.sources] == ["kompost"]
     assert (cited.version_resolution.applied, cited.version_resolution.selected, cited.version_resolution.discarded) == (False, [], [])
-    retrieved = ask(spark, index, "Kargo ücreti ne kadar?", cite_shipping, report_scope="retrieved")
-    assert retrieved.version_resolution.applied and len(retrieved.version_resolution.discarded) == 1
+    retrieved = ask(spark, index, question, cite_compost, report_scope="retrieved")
+    assert retrieved.version_resolution.applied and [d.documentId for d in retrieved.version_resolution.discarded] == ["parsel-2023"]
 
 
 def test_what_a_generator_may_do(spark, index):
     """One batch; single letters are no search terms, so the last one only tells the generator what to do."""
     calls = {
         "a": lambda m: reply(False, missing=" Kaynak yetersiz. "),
-        "b": lambda m: reply(answer="30 gün.", citations=[("C9", "30 gün")]),
+        "b": lambda m: reply(answer="Sabah.", citations=[("C9", "sabah")]),
         "d": lambda m: {"text": "JSON değil"},
         "e": lambda m: {"text": "?"} if len(m) == 2 else quote_first(m),
     }
@@ -282,19 +309,21 @@ def test_what_a_generator_may_do(spark, index):
         if letter == "c":
             raise ConnectionError("down")
         if letter in "fg":
-            labels = {s[1].split("] ")[1].split(" |")[0]: s[0] for s in sources_of(messages) if "Kargo" in s[2] or "kargo" in s[2]}
-            policy, faq = labels["Belge iade"], labels["Belge sss"]
-            chosen, other = (policy, faq) if letter == "f" else (faq, policy)
-            return reply(answer="Ücretsizdir.", citations=[(chosen, "kargo")], conflicts=[
+            labels = {s[1].split("] ")[1].split(" |")[0]: s[0] for s in sources_of(messages) if "Anahtar" in s[2]}
+            rules, faq = labels["Parsel kuralları"], labels["Sorular"]
+            chosen, other = (rules, faq) if letter == "f" else (faq, rules)
+            return reply(answer="Yüz lira.", citations=[(chosen, "anahtar")], conflicts=[
                 (chosen, [other, other.lower(), chosen, "C9"]), ("C9", [other]), (chosen, [chosen]),
             ])
         return calls[letter](messages)
 
-    texts = [f"İade süresi kaç gün? {letter}" for letter in "abcde"] + [f"İade kargo ücretini kim öder? {letter}" for letter in "fg"]
+    texts = [f"{WATERING} {letter}" for letter in "abcde"] + [f"Anahtar depozitosu? {letter}" for letter in "fg"]
     a, b, c, d, e, f, g = answer_questions(index, queries(spark, *texts), generate, AS_OF).orderBy("query_id").collect()
     assert (a.answerable, a.refusal_reason, a.missing_information, a.answer) == (
         False, "ModelInsufficientContext", "Kaynak yetersiz.", NOT_ENOUGH_INFORMATION)
     assert (b.answerable, b.refusal_reason, b.sources) == (False, "NoValidCitations", [])
+    for refused in (a, b):  # a refusal says which versions were passed over
+        assert refused.version_resolution.applied and {v.documentId for v in refused.version_resolution.discarded} == {"parsel-2023", "parsel-2027"}
     assert (c.status, c.message_code, c.response_json) == (503, "generator_unavailable", None)
     assert (d.status, d.message_code, d.answerable) == (502, "reply_invalid", False)
     assert e.answerable and e.status == 200

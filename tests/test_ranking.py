@@ -4,13 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import queries, returns_store, store
+from helpers import queries, garden_store, store
 from lexifold import DEFAULTS, build_index, load_index, prepare, search, with_chunks
 from lexifold.functions.vectors import cosine_similarity, unit_length
 from lexifold.operators.bm25 import best_matches, match_bounds, score_matches, term_frequencies, weigh_query_terms
 from lexifold.operators.dense import dense_scores, nearest_chunks
 from lexifold.operators.fusion import fuse
-from lexifold.plans.search import search_within_documents, within
+from lexifold.plans.search import search_requests, search_within_documents, within
 
 MODEL = "test-model"
 
@@ -92,12 +92,12 @@ def test_nearest_chunks_equals_brute_force(spark, limit):
 
 
 def test_index_tables_and_status(spark):
-    index = build_index(returns_store(spark))
-    assert (index.n_documents, index.n_chunks, index.mode) == (4, 6, "lexical")
-    assert index.average_length == index.postings.agg(F.sum("tf")).first()[0] / 6
-    assert [r.source_id for r in index.versions.orderBy("doc_no").collect()] == ["iade-v1", "iade-v2", "kargo", "sss"]
+    index = build_index(garden_store(spark))
+    assert (index.n_documents, index.n_chunks, index.mode) == (5, 7, "lexical")
+    assert index.average_length == index.postings.agg(F.sum("tf")).first()[0] / 7
+    assert [r.source_id for r in index.versions.orderBy("doc_no").collect()] == ["kompost", "parsel-2023", "parsel-2025", "parsel-2027", "soru-cevap"]
     again = load_index(spark, index.path)
-    assert again.n_chunks == 6 and again.chunks.count() == 6
+    assert again.n_chunks == 7 and again.chunks.count() == 7 and again.built_at == index.built_at
 
 
 def exchanges(df):
@@ -105,8 +105,8 @@ def exchanges(df):
 
 
 def test_nothing_is_shuffled_where_the_buckets_suffice(spark):
-    index = build_index(returns_store(spark))
-    prepared = prepare(index, queries(spark, "iade kargo"))
+    index = build_index(garden_store(spark))
+    prepared = prepare(index, queries(spark, "anahtar kompost"))
     scored = score_matches(index.postings, prepared.terms, index.average_length, broadcast_terms=True)
     assert exchanges(scored) == 0
     assert exchanges(term_frequencies(index.chunks)) == 0
@@ -143,21 +143,37 @@ def test_empty_corpus(spark):
 
 
 def test_lexical_search(spark):
-    index = build_index(returns_store(spark))
-    result = search(index, prepare(index, queries(spark, "iade suresi kac gun", "zzzz", "ücretsiz kargo")), top_k=3)
+    index = build_index(garden_store(spark))
+    result = search(index, prepare(index, queries(spark, "sabah damlama hattı", "zzzz", "anahtar depozitosu")), top_k=3)
     hits = with_chunks(index, result.hits).orderBy("query_id", "rank").collect()
     first = [h for h in hits if h.query_id == 0]
-    assert first[0].section_path == "2. İade Süresi" and len(first) == 3
+    assert [(h.source_id, h.section_path) for h in first] == [("parsel-2025", "Sulama")]
     assert first[0].dense_score is None and first[0].fused_score == pytest.approx(1 / 61)
     stats = {r.query_id: r for r in result.stats.collect()}
     assert stats[0].max_coverage == 1.0 and stats[1].max_coverage == 0.0 and stats[1].mode == "lexical"
-    assert not any(h.query_id == 1 for h in hits)
+    assert not any(h.query_id == 1 for h in hits) and sum(h.query_id == 2 for h in hits) == 3
 
-    filtered = search(index, prepare(index, queries(spark, "ücretsiz kargo")), top_k=5, where=F.col("source_id") == "kargo")
+    filtered = search(index, prepare(index, queries(spark, "anahtar depozitosu")), top_k=5, where=F.col("source_id") == "soru-cevap")
     found = with_chunks(index, filtered.hits).collect()
-    assert [h.source_id for h in found] == ["kargo"]
-    whole = {(h.doc_no, h.chunk_order): h.lexical_score for h in hits if h.query_id == 2}
-    assert found[0].lexical_score == whole[found[0].doc_no, found[0].chunk_order]
+    assert [h.source_id for h in found] == ["soru-cevap"]
+    whole = {(h.source_id, h.chunk_order): h.lexical_score for h in hits if h.query_id == 2}
+    assert found[0].lexical_score == whole[found[0].source_id, found[0].chunk_order]
+
+
+def test_search_with_its_checks(spark):
+    index = build_index(garden_store(spark))
+    rows = [(1, " anahtar ", None), (2, " ", 3), (3, "x" * 501, 3), (4, "anahtar", 0), (5, "anahtar", 1), (6, "anahtar", 21)]
+    requests = spark.createDataFrame(rows, "query_id bigint, text string, top_k int")
+    checked, result = search_requests(index, requests)
+    codes = {r.query_id: (r.status, r.message_code) for r in checked.collect()}
+    assert codes == {1: (200, None), 2: (400, "query_required"), 3: (400, "query_too_long"), 4: (400, "top_k_out_of_range"),
+                     5: (200, None), 6: (400, "top_k_out_of_range")}
+    counts = {r.query_id: r["count"] for r in result.hits.groupBy("query_id").count().collect()}
+    assert counts == {1: 3, 5: 1}
+    without, nothing = search_requests(None, requests)
+    assert nothing is None and [r.status for r in without.orderBy("query_id").collect()] == [503, 400, 400, 400, 503, 400]
+    with pytest.raises(ValueError, match="unique"):
+        search_requests(index, requests.union(requests))
 
 
 def hybrid_store(spark, model=MODEL):
@@ -219,22 +235,22 @@ def test_failed_query_embedding_falls_back_to_words(spark):
 
 
 def test_per_query_limits_and_search_within_documents(spark):
-    index = build_index(returns_store(spark))
-    asked = spark.createDataFrame([(0, "iade kargo", 1), (1, "iade kargo", None), (2, "iade kargo", 3)], "query_id bigint, text string, top_k int")
+    index = build_index(garden_store(spark))
+    asked = spark.createDataFrame([(0, "anahtar parsel", 1), (1, "anahtar parsel", None), (2, "anahtar parsel", 3)], "query_id bigint, text string, top_k int")
     prepared = prepare(index, asked)
     counts = {r.query_id: r["count"] for r in search(index, prepared).hits.groupBy("query_id").count().collect()}
     assert counts == {0: 1, 1: 6, 2: 3}
     numbers = {r.source_id: r.doc_no for r in index.versions.collect()}
-    pairs = spark.createDataFrame([(0, numbers["iade-v2"]), (1, numbers["sss"])], "query_id bigint, doc_no bigint")
+    pairs = spark.createDataFrame([(0, numbers["parsel-2025"]), (1, numbers["soru-cevap"])], "query_id bigint, doc_no bigint")
     inside = search_within_documents(index, prepared, pairs, 2).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.doc_no, r.chunk_order) for r in inside] == [
-        (0, numbers["iade-v2"], 1), (0, numbers["iade-v2"], 0), (1, numbers["sss"], 0),
+        (0, numbers["parsel-2025"], 0), (0, numbers["parsel-2025"], 1), (1, numbers["soru-cevap"], 0),
     ]
 
 
 def test_lookups_read_only_the_buckets_they_need(spark):
-    index = build_index(returns_store(spark))
-    hits = search(index, prepare(index, queries(spark, "ücretsiz kargo")), top_k=1).hits
+    index = build_index(garden_store(spark))
+    hits = search(index, prepare(index, queries(spark, "kompost torbaları")), top_k=1).hits
     assert index.near(hits, 1).chunks.rdd.getNumPartitions() == 1 < index.chunks.rdd.getNumPartitions()
     everything = with_chunks(index, hits, type(DEFAULTS)(max_pruned_documents=0))
     assert everything.collect() == with_chunks(index, hits).collect()
