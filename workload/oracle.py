@@ -113,8 +113,8 @@ select source_id, row_number() over (partition by source_id order by sec, part)
 part("kb_documents", DOCUMENTS_SQL)
 part("kb_markdown", """
 select * exclude (text), array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
-  case when (i - 1) % 8 = 0 then '## Bölüm ' || (i - 1) when (i - 1) % 8 = 4 then '### Alt ' || (i - 1) || ' ##'
-       else x || chr(10) end), chr(10)) as body
+  case when (i - 1) % 8 = 0 then '## Bölüm ' || (i - 1) || chr(10) when (i - 1) % 8 = 4 then '### Alt ' || (i - 1) || ' ##' || chr(10)
+       else '' end || x || chr(10)), chr(10)) as body
 from kb_documents""")
 chunk_parts("kb_markdown", "kb")
 
@@ -142,6 +142,7 @@ part("fields", "select file_name, closed, body, " + ", ".join(
 part("validated_files", rf"""
 select file_name, source_id, document_key, title, version, try_cast(raw_date as date) as effective_date, status, category, supersedes,
   case when closed is null then 'front_matter_missing' when not closed then 'front_matter_unclosed'
+    when regexp_matches(header, '(?m)^(id|documentKey|title|version|effectiveDate|status|supersedes|category): [|>&*!\[{{]') then 'front_matter_unreadable'
     when title is null then 'field_missing:title'
     when len(list_filter(string_split(body, chr(10)), lambda l: trim(l) <> '' and not regexp_matches(l, '^#{{1,6}}\s.'))) = 0 then 'section_missing'
     when source_id is null then 'field_missing:id' when document_key is null then 'field_missing:documentKey'
@@ -150,7 +151,7 @@ select file_name, source_id, document_key, title, version, try_cast(raw_date as
     when status is null then 'field_missing:status' when status not in ('active', 'superseded') then 'status_unknown'
     when category is null then 'field_missing:category'
     when category not in ('politika', 'prosedur', 'kilavuz', 'sss') then 'category_unknown' end as error
-from fields""")
+from (select fields.*, split.header from fields join split using (file_name))""")
 
 # --- stored state --------------------------------------------------------------------------------
 
@@ -347,6 +348,14 @@ PARTS["validated"] = PARTS["validated"].replace('\\"', '"')
 _NAME = re.compile(r"[a-z_][a-z0-9_]*")
 
 
+part("checked_requests", f"""
+select *, case when t = '' then 'query_required' when length(t) > 500 then 'query_too_long' when k not between 1 and 20 then 'top_k_out_of_range' end as code
+from (select query_id, coalesce({trimmed('text')}, '') as t, coalesce(top_k, 6) as k from ({REQUESTS_SQL}))""")
+part("found_by_requests", f"""
+select query_id, count(distinct (source_id, chunk_order)) as n
+from (select distinct query_id, unnest({terms_of('t')}) as term from checked_requests where code is null) join postings using (term) group by query_id""")
+
+
 def statement(sql: str) -> str:
     """Put the parts a query needs before it, each once."""
     ordered: list[str] = []
@@ -418,7 +427,8 @@ from benchmark""",
 from kb_sections""",
     "c3_packed_chunks": "select source_id, section_path, length(content) as n_chars, md5(content) as content_md5 from kb_chunks",
     "c4_chunk_order": "select source_id, chunk_order, md5(content) as content_md5 from kb_chunks",
-    "j1_bm25_matches": "select query_id, source_id, chunk_order, matched_terms from scored",
+    "j1_bm25_matches": """select query_id, count(*) as matches, cast(sum(matched_terms) as bigint) as matched_terms,
+  max(matched_terms) as most_terms from scored group by query_id""",
     "j2_query_idf": "select query_id, term, df, round(idf, 8) as idf, round(total_idf, 8) as total_idf from weighted join totals using (query_id)",
     "j3_reconcile": "select source_id, file_name, action, case when action = 'unchanged' then content_hash else content_hash end as content_hash from reconciled",
     "j5_dense_scores": "select query_id, source_id, chunk_order, dense_score from lex_hits h join dense d using (query_id, source_id, chunk_order)".replace(
@@ -432,12 +442,14 @@ from citations c join validated v using (query_id) where v.answerable""",
     "j12_conflicts": """select c.query_id, cast(conflict_no as bigint) as conflict_no, topic, chosen_id, rejected, reason
 from conflicts c join validated v using (query_id) where v.answerable""",
     "j13_lookup": """select w.source_id, document_key, version, cast(case when document_key is null then 404 else 200 end as bigint) as http_status
-from (select 'doc-' || lpad(cast(item_id * 37 as varchar), 8, '0') as source_id from benchmark) w left join kb_documents using (source_id)""",
+from (select 'doc-' || lpad(cast(item_id * 37 as varchar), 19, '0') as source_id from benchmark) w left join kb_documents using (source_id)""",
     "a1_term_freq": "select source_id, chunk_order, dl, term, tf from postings",
     "a2_doc_freq": "select term, df from document_frequency",
     "a3_corpus": "select n as n_chunks, cast(total as bigint) as n_terms, round(avgdl, 6) as average_length from corpus",
-    "a4_bm25": "select query_id, source_id, chunk_order, score from scored",
-    "a5_coverage": "select query_id, source_id, chunk_order, coverage from scored",
+    "a4_bm25": """select query_id, count(*) as matches, sum(cast(score as decimal(20, 8))) as total, max(score) as best, min(score) as least
+from scored group by query_id""",
+    "a5_coverage": """select query_id, count(*) as matches, sum(cast(coverage as decimal(20, 8))) as total, max(coverage) as best, min(coverage) as least
+from scored group by query_id""",
     "a6_query_stats": "select query_id, mode, max_dense, max_coverage from stats",
     "a7_rrf": "select query_id, source_id, chunk_order, fused_score from hyb_hits",
     "a8_families": """select document_key, source_id, version, effective_date, count(*) over (partition by document_key) as n_versions from kb_documents""",
@@ -462,22 +474,32 @@ union all select 'two models', count(*), case when bool_and(vec_id % 50 <> 0) th
     "l4_search_lexical": f"select {HIT_COLUMNS} from lex_hits",
     "l4_search_hybrid": f"select {HIT_COLUMNS} from hyb_hits",
     "l4_search_filtered": f"select {HIT_COLUMNS} from flt_hits",
+    "l4_search_requests": """select 'ready' as state, query_id, cast(case when code is null then 200 else 400 end as bigint) as status,
+  code as message_code, case when code is null then least(k, 20, coalesce(n, 0)) else 0 end as n_hits
+from checked_requests left join found_by_requests using (query_id)
+union all select 'no index', query_id, case when code is null then 503 else 400 end, coalesce(code, 'index_not_ready'), 0 from checked_requests""",
     "l5_resolution": "select query_id, rank, source_id, multi_version, kept, reason, current_id, needs_substitution from resolution",
     "l6_report_cited": """select r.* from report r semi join (select query_id, document_key from citations semi join
   (select query_id from validated where answerable) v using (query_id)) c using (query_id, document_key)""",
     "l6_report_retrieved": "select * from report",
     "l7_context": "select query_id, position, label, source_id, chunk_order, version, section_path, md5(content) as content_md5 from context",
     "l8_validated_answers": "select query_id, valid, answerable, answer, missing_information, refusal_reason from validated",
-    "l9_answers": f"""select query_id, cast(200 as bigint) as status, reason = '' as answerable, reason as refusal_reason,
-  case when reason = '' then {trimmed("line")} else 'Bu soruyu yanıtlamak için dokümanlarda yeterli bilgi bulunamadı.' end as answer,
-  case when reason = '' then source_id else '' end as source_ids, true as all_verified,
-  reason = '' and n_discarded > 0 as applied, case when reason = '' then n_selected else 0 end as n_selected,
-  case when reason = '' then n_discarded else 0 end as n_discarded
-from (select g.query_id, case when not evidence then 'LowRelevance' when x.source_id is null then 'ModelInsufficientContext' else '' end as reason,
-    string_split(x.content, chr(10))[1] as line, x.source_id, coalesce(n_selected, 0) as n_selected, coalesce(n_discarded, 0) as n_discarded
-  from gated g left join (select * from context where position = 1) x using (query_id)
-    left join (select query_id, document_key, count(*) filter (kind = 'selected') as n_selected, count(*) filter (kind = 'discarded') as n_discarded
-      from report group by 1, 2) r on r.query_id = g.query_id and r.document_key = x.document_key)""",
+    "l9_answers": f"""select query_id, status, status = 200 and reason = '' as answerable, case when status = 200 then reason end as refusal_reason,
+  case when status = 200 then case when reason = '' then {trimmed("line")} else 'Bu soruyu yanıtlamak için dokümanlarda yeterli bilgi bulunamadı.' end end as answer,
+  case when status = 200 and reason = '' then source_id else '' end as source_ids, true as all_verified,
+  discarded > 0 as applied, selected as n_selected, discarded as n_discarded
+from (select *, case when status <> 200 then 0 when reason = '' then n_selected when reason = 'LowRelevance' then 0 else all_selected end as selected,
+    case when status <> 200 then 0 when reason = '' then n_discarded when reason = 'LowRelevance' then 0 else all_discarded end as discarded
+  from (select *, cast(case when reason = '' and length(line) % 5 = 0 then 503 when reason = '' and length(line) % 5 = 1 then 502 else 200 end as bigint) as status
+    from (select g.query_id, case when not evidence then 'LowRelevance' when x.source_id is null then 'ModelInsufficientContext' else '' end as reason,
+        string_split(x.content, chr(10))[1] as line, x.source_id, coalesce(n_selected, 0) as n_selected, coalesce(n_discarded, 0) as n_discarded,
+        coalesce(all_selected, 0) as all_selected, coalesce(all_discarded, 0) as all_discarded
+      from gated g left join (select * from context where position = 1) x using (query_id)
+        left join (select query_id, document_key, count(*) filter (kind = 'selected') as n_selected, count(*) filter (kind = 'discarded') as n_discarded
+          from report group by 1, 2) r on r.query_id = g.query_id and r.document_key = x.document_key
+        left join (select query_id, count(*) filter (kind = 'selected') as all_selected, count(*) filter (kind = 'discarded') as all_discarded
+          from report group by 1) a on a.query_id = g.query_id)))
+union all select query_id, 400, false, null, null, '', true, false, 0, 0 from (select unnest([-1, -2]) as query_id)""",
     "l10_documents": f"""select source_id, document_key, title, version, effective_date, status, category, supersedes, coalesce(section_count, 0) as section_count
 from kb_documents left join ({COUNTED}) using (source_id)""",
     "l11_sections": """select source_id, cast(200 as bigint) as http_status, chunk_order, section_path, md5(content) as content_md5

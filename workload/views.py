@@ -20,8 +20,8 @@ AS_OF = datetime.date(2025, 6, 1)
 MODEL = "m1"
 
 DOCUMENTS_SQL = """
-select doc_id, concat('doc-', lpad(cast(doc_id as string), 8, '0')) as source_id,
-  concat('doc-', lpad(cast(doc_id as string), 8, '0'), '.md') as file_name,
+select doc_id, concat('doc-', lpad(cast(doc_id as string), 19, '0')) as source_id,
+  concat('doc-', lpad(cast(doc_id as string), 19, '0'), '.md') as file_name,
   case when doc_id % 4 = 3 then concat('solo-', cast(doc_id as string))
        else concat('fam-', cast(cast(floor(doc_id / 4) as bigint) as string)) end as document_key,
   concat('Belge ', source) as title,
@@ -31,7 +31,7 @@ select doc_id, concat('doc-', lpad(cast(doc_id as string), 8, '0')) as source_id
   case when cast(floor(doc_id / 4) as bigint) % 11 = 0 or doc_id % 12 = 1
        then 'superseded' else 'active' end as status,
   case doc_id % 5 when 0 then 'politika' when 1 then 'prosedur' when 2 then 'kilavuz' else 'sss' end as category,
-  case when doc_id % 4 in (1, 2) then concat('doc-', lpad(cast(doc_id - 1 as string), 8, '0')) end as supersedes,
+  case when doc_id % 4 in (1, 2) then concat('doc-', lpad(cast(doc_id - 1 as string), 19, '0')) end as supersedes,
   text
 from documents
 """
@@ -43,7 +43,7 @@ HEADER_SQL = """concat('id: ', source_id, chr(10), 'documentKey: ', document_key
   'supersedes: ', coalesce(supersedes, '""'), chr(10), 'category: ', category)"""
 VALID_FILE_SQL = f"concat('---', chr(10), {HEADER_SQL}, chr(10), '---', chr(10), body, chr(10), 'Son not.', chr(10))"
 
-# The same file with one fault by document: line ends, id, status, date, closing line, body.
+# The same file with one fault by document: line ends, id, status, date, closing line, body, a value that is not flat.
 FAULTY_FILE_SQL = f"""case doc_id % 9
   when 1 then replace(valid_text, chr(10), concat(chr(13), chr(10)))
   when 2 then replace(valid_text, concat('id: ', source_id, chr(10)), '')
@@ -51,6 +51,7 @@ FAULTY_FILE_SQL = f"""case doc_id % 9
   when 4 then replace(valid_text, concat('effectiveDate: ', cast(effective_date as string)), 'effectiveDate: 01.06.2025')
   when 5 then replace(valid_text, concat(chr(10), '---', chr(10)), concat(chr(10), '--', chr(10)))
   when 6 then concat('---', chr(10), {HEADER_SQL}, chr(10), '---', chr(10), chr(10))
+  when 7 then replace(valid_text, concat('title: "', title, '"'), concat('title: >', chr(10), '  ', title))
   else valid_text end"""
 
 REQUESTS_SQL = """
@@ -77,14 +78,15 @@ def kb_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every eighth line becomes a section heading, the line four below a sub-heading, others paragraphs."""
+    """Every line becomes a paragraph; a section heading goes before every eighth, a sub-heading before the one four below."""
 
     def markdown_line(line, i):
-        return (
-            F.when(i % 8 == 0, F.concat(F.lit("## Bölüm "), i.cast("string")))
-            .when(i % 8 == 4, F.concat(F.lit("### Alt "), i.cast("string"), F.lit(" ##")))
-            .otherwise(F.concat(line, F.lit("\n")))
+        heading = (
+            F.when(i % 8 == 0, F.concat(F.lit("## Bölüm "), i.cast("string"), F.lit("\n")))
+            .when(i % 8 == 4, F.concat(F.lit("### Alt "), i.cast("string"), F.lit(" ##\n")))
+            .otherwise("")
         )
+        return F.concat(heading, line, F.lit("\n"))
 
     body = F.array_join(F.transform(F.split("text", "\n"), markdown_line), "\n")
     return kb_documents(spark, sf_dir).withColumn("body", body).drop("text")
@@ -99,14 +101,20 @@ def kb_files(spark: SparkSession, sf_dir: str, faulty: bool) -> DataFrame:
     return valid.select("file_name", (F.expr(FAULTY_FILE_SQL) if faulty else F.col("valid_text")).alias("text"))
 
 
+def with_every_vector(joined: DataFrame, column: str) -> DataFrame:
+    """Fails on a row that met no vector, where an inner join would drop it."""
+    gap = F.raise_error(F.lit("the vectors are not numbered from 0 without gaps"))
+    return joined.withColumn(column, F.coalesce(F.col(column), gap))
+
+
 def kb_chunks_with_vectors(spark: SparkSession, sf_dir: str, mixed_models: bool = False) -> DataFrame:
     """Each chunk takes one of the given vectors; with ``mixed_models`` every fiftieth comes from another model."""
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n_vectors = embeddings.count()
-    doc_id = F.substring("source_id", 5, 8).cast("bigint")
+    doc_id = F.expr("cast(substring(source_id, 5) as bigint)")
     numbered = kb_chunks(spark, sf_dir).withColumn("vec_id", (doc_id * 31 + F.col("chunk_order") * 7) % n_vectors)
     model = F.when(F.col("vec_id") % 50 == 0, "m2").otherwise(MODEL) if mixed_models else F.lit(MODEL)
-    return numbered.join(embeddings, "vec_id").select(
+    return with_every_vector(numbered.join(embeddings, "vec_id", "left"), "embedding").select(
         "source_id", "chunk_order", "section_path", "content", "embedding", model.alias("embedding_model")
     )
 
@@ -165,7 +173,7 @@ def kb_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), "text", (F.col("item_id") % n_vectors).alias("vec_id")
     )
-    return items.join(embeddings, "vec_id").select("query_id", "text", "vector")
+    return with_every_vector(items.join(embeddings, "vec_id", "left"), "vector").select("query_id", "text", "vector")
 
 
 def kb_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
