@@ -109,12 +109,13 @@ def leaf_budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
         usable = usable & (_weight(path, mixture) > 0)
     base = named.withColumn("capacity", F.when(usable, F.col("tokens") * mixture.max_epochs).otherwise(0).cast("long"))
     asked = F.lit(mixture.budget) if mixture.budget is not None else F.expr(f"sum(tokens) * {mixture.percent} div 100")
-    root = base.agg(F.least(F.sum("capacity"), asked).cast("long").alias("budget")).withColumn("root", F.lit(0))
-    parents, on = root, ["root"]
+    total = base.agg(F.least(F.sum("capacity"), asked).cast("long")).first()[0] or 0
+    parents, on = None, ["root"]
     for path in paths:
         nodes = base.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("weight", _weight(path, mixture)).withColumn("root", F.lit(0))
-        shared = share_out(nodes.join(parents, on), on, path[-1])
+        nodes = nodes.withColumn("budget", F.lit(total)) if parents is None else nodes.join(parents, on)
+        shared = share_out(nodes, on, path[-1])
         on = ["root", *path]
         parents = shared.select(*on, F.col("given").alias("budget"), *(["tokens"] if path == names else []))
     return parents.select(*[F.col(n).alias(c) for c, n in zip(mixture.levels, names, strict=True)], "tokens", "budget")
