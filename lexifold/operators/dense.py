@@ -8,6 +8,7 @@ and passes on the best ``pool`` per query; a window then merges the tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,35 +94,6 @@ def _with_broadcast_queries(vectors: DataFrame, queries: DataFrame, pool: int, s
     return vectors.mapInArrow(local_best, schema)
 
 
-def _with_blocked_queries(
-    vectors: DataFrame, queries: DataFrame, query_blocks: int, pool: int, schema: str, options: RetrievalOptions
-) -> DataFrame:
-    """Too many queries to send everywhere: blocks of chunks meet blocks of queries on a pair of block numbers."""
-    chunk_blocks = max(1, -(-vectors.count() // options.vectors_per_block))
-
-    def block(count: int, *columns: str):
-        return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int")
-
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = vectors.withColumn("chunk_block", block(chunk_blocks, "doc_no", "chunk_order")).withColumn(
-        "query_block", every(query_blocks)
-    )
-    right = queries.select("query_id", "vector").withColumn("query_block", block(query_blocks, "query_id")).withColumn(
-        "chunk_block", every(chunk_blocks)
-    )
-
-    def local_best(chunks: pa.Table, some: pa.Table) -> pa.Table:
-        if not chunks.num_rows or not some.num_rows:
-            kinds = [some.schema.field("query_id").type, pa.int64(), pa.int32(), pa.float64()]
-            return pa.schema(zip(("query_id", "doc_no", "chunk_order", "dense_score"), kinds, strict=True)).empty_table()
-        return _local_best(chunks, some, pool)
-
-    keys = ["chunk_block", "query_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(local_best, schema)
-
-
 def nearest_chunks(
     vectors: DataFrame, queries: DataFrame, pool: int, options: RetrievalOptions = DEFAULTS
 ) -> DataFrame:
@@ -130,10 +102,11 @@ def nearest_chunks(
     vectors = vectors.select("doc_no", "chunk_order", "embedding")
     schema = _RESULT.format(id_type=queries.schema["query_id"].dataType.simpleString())
     values = queries.agg(F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0))).first()[0]
-    if values <= options.max_broadcast_values:
-        local = _with_broadcast_queries(vectors, queries, pool, schema)
-    else:
-        local = _with_blocked_queries(vectors, queries, -(-values // options.max_broadcast_values), pool, schema, options)
+    # Too many queries to send at once go in blocks; each meets the vectors where they lie, so vectors are never shuffled.
+    blocks = max(1, -(-values // options.max_broadcast_values))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_with_broadcast_queries(vectors, queries.where(block == n), pool, schema) for n in range(blocks)]
+    local = reduce(DataFrame.unionByName, parts)
     window = Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "doc_no", "chunk_order")
     return (
         local.withColumn("rank", F.row_number().over(window))

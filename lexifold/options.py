@@ -10,8 +10,9 @@ class RetrievalOptions:
     """Sizes and thresholds of retrieval.
 
     ``max_broadcast_rows`` and ``max_broadcast_values`` bound the query-side
-    rows and vector components shipped to every executor; bigger batches take
-    the shuffled plans. Up to ``max_pruned_documents`` documents, a lookup
+    rows and vector components shipped to every executor at a time; bigger
+    batches go in blocks of queries. Up to ``max_pushed_terms`` query terms are
+    named in the filter of the postings, which are sorted by term. Up to ``max_pruned_documents`` documents, a lookup
     names the documents so that the other buckets are not read.
     """
 
@@ -31,8 +32,7 @@ class RetrievalOptions:
     max_broadcast_rows: int = 500_000
     max_broadcast_values: int = 16_000_000
     max_pruned_documents: int = 1_000
-    term_salts: int = 16
-    vectors_per_block: int = 16_384
+    max_pushed_terms: int = 64
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,17 @@ def within(postings: DataFrame, allowed: DataFrame) -> DataFrame:
     )
 
 
+def of_terms(postings: DataFrame, prepared: PreparedQueries, options: RetrievalOptions = DEFAULTS) -> DataFrame:
+    """Postings of the terms asked for: few terms are named in the filter, and the scan skips the pages of all others.
+
+    The terms are compared one by one, as a long ``IN`` list is pushed down only as a range.
+    """
+    if prepared.n_terms > options.max_pushed_terms:
+        return postings
+    terms = [row["term"] for row in prepared.terms.select("term").distinct().collect()]
+    return postings.where(reduce(lambda a, b: a | b, [F.col("term") == t for t in sorted(terms)], F.lit(False)))
+
+
 def _complete(
     fused: DataFrame, known: DataFrame, score_missing, columns: tuple[str, ...], n_rows: int, options: RetrievalOptions
 ) -> DataFrame:
@@ -113,8 +125,8 @@ def search(
         allowed = index.chunks.where(where)
         postings, vectors = within(postings, allowed), allowed.select(*CHUNK, "embedding")
 
-    small = prepared.n_terms <= options.max_broadcast_rows
-    scored = score_matches(postings, prepared.terms, index.average_length, broadcast_terms=small, options=options)
+    postings = of_terms(postings, prepared, options)
+    scored = score_matches(postings, prepared.terms, index.average_length, n_terms=prepared.n_terms, options=options)
     # Two passes over the postings instead of sorting every match: bounds first, then what reaches them.
     bounds = materialize(match_bounds(scored, options.candidate_pool), "match-bounds")
     lexical = materialize(best_matches(scored, bounds, options.candidate_pool), "lexical-pool")

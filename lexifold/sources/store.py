@@ -1,11 +1,15 @@
 """Document store: two Parquet tables per version, and a table of committed versions.
 
-A version becomes visible when its number is appended to ``commits``, after
-both tables are complete, so readers never see a half-written store.
+A version becomes visible when its row is appended to ``commits``, after both
+tables are complete, so readers never see a half-written store. The row names
+the folder, which is one of its own for every write: of two writers that start
+from the same version neither touches the other's files, and all readers agree
+on which of the two counts.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -32,21 +36,26 @@ def empty_store(spark: SparkSession) -> Store:
     return Store(spark.createDataFrame([], DOCUMENT_SCHEMA), spark.createDataFrame([], CHUNK_SCHEMA))
 
 
-def _committed_version(spark: SparkSession, path: str) -> int:
+COMMIT_SCHEMA = "store_version long, folder string"
+
+
+def _committed(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder of the last version; of equal numbers the later folder name counts."""
     try:
-        commits = spark.read.schema("store_version long").parquet(f"{path}/commits")
+        commits = spark.read.schema(COMMIT_SCHEMA).parquet(f"{path}/commits")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return 0
-    return commits.agg(F.coalesce(F.max("store_version"), F.lit(0))).first()[0]
+        return 0, None
+    last = commits.agg(F.max(F.struct("store_version", "folder")).alias("last")).first()["last"]
+    return (last["store_version"], last["folder"]) if last else (0, None)
 
 
 def read_store(spark: SparkSession, path: str) -> Store:
-    version = _committed_version(spark, path)
-    if version == 0:
+    _, name = _committed(spark, path)
+    if name is None:
         return empty_store(spark)
-    folder = f"{path}/version={version}"
+    folder = f"{path}/{name}"
     return Store(
         spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{folder}/documents"),
         spark.read.schema(CHUNK_SCHEMA).parquet(f"{folder}/chunks"),
@@ -56,13 +65,12 @@ def read_store(spark: SparkSession, path: str) -> Store:
 def write_store(store: Store, path: str) -> Store:
     """Write the next version and commit it. The version being read is never touched."""
     spark = store.documents.sparkSession
-    version = _committed_version(spark, path) + 1
-    folder = f"{path}/version={version}"
-    store.documents.write.mode("overwrite").parquet(f"{folder}/documents")
-    store.chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    spark.range(version, version + 1).select(F.col("id").alias("store_version")).coalesce(1).write.mode("append").parquet(
-        f"{path}/commits"
-    )
+    version = _committed(spark, path)[0] + 1
+    name = f"version-{version}-{uuid.uuid4().hex[:12]}"
+    store.documents.write.parquet(f"{path}/{name}/documents")
+    store.chunks.write.parquet(f"{path}/{name}/chunks")
+    commit = spark.range(version, version + 1).select(F.col("id").alias("store_version"), F.lit(name).alias("folder"))
+    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return read_store(spark, path)
 
 

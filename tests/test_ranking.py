@@ -10,7 +10,7 @@ from lexifold.functions.vectors import cosine_similarity, unit_length
 from lexifold.operators.bm25 import best_matches, match_bounds, score_matches, term_frequencies, weigh_query_terms
 from lexifold.operators.dense import dense_scores, nearest_chunks
 from lexifold.operators.fusion import fuse
-from lexifold.plans.search import search_requests, search_within_documents, within
+from lexifold.plans.search import of_terms, search_requests, search_within_documents, within
 
 MODEL = "test-model"
 
@@ -27,11 +27,11 @@ def weighed(spark, postings, *term_lists):
     return weigh_query_terms(terms, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), 3)
 
 
-@pytest.mark.parametrize("broadcast_terms", [True, False])
-def test_bm25_scores_and_coverage(spark, broadcast_terms):
+@pytest.mark.parametrize("most", [1000, 2])
+def test_bm25_scores_and_coverage(spark, most):
     postings = tiny_postings(spark)
     terms = weighed(spark, postings, ["iade", "kargo"], ["iade", "sures"], ["kamera"], ["sures"], ["iade", "kamera"])
-    rows = score_matches(postings, terms, 4.0, broadcast_terms=broadcast_terms).collect()
+    rows = score_matches(postings, terms, 4.0, n_terms=terms.count(), options=type(DEFAULTS)(max_broadcast_rows=most)).collect()
     scores = {(r.query_id, r.doc_no): (r.score, r.coverage) for r in rows}
     best = {q: max((k for k in scores if k[0] == q), key=lambda k: scores[k][0])[1] for q in (0, 1, 3)}
     assert best == {0: 2, 1: 0, 3: 0}
@@ -75,7 +75,7 @@ def test_nearest_chunks_equals_brute_force(spark, limit):
     vectors = spark.createDataFrame(chunks, "doc_no bigint, chunk_order int, embedding array<float>").repartition(5)
     query_rows = [(i, asked[i].tolist()) for i in range(9)] + [(9, None)]
     asked_df = spark.createDataFrame(query_rows, "query_id bigint, vector array<float>")
-    options = type(DEFAULTS)(max_broadcast_values=limit, vectors_per_block=7)
+    options = type(DEFAULTS)(max_broadcast_values=limit)
     got = nearest_chunks(vectors, asked_df, 6, options).collect()
     scores = base.astype(float) @ asked.astype(float).T
     scores /= np.linalg.norm(base.astype(float), axis=1)[:, None] * np.linalg.norm(asked.astype(float), axis=1)[None]
@@ -107,14 +107,14 @@ def exchanges(df):
 def test_nothing_is_shuffled_where_the_buckets_suffice(spark):
     index = build_index(garden_store(spark))
     prepared = prepare(index, queries(spark, "anahtar kompost"))
-    scored = score_matches(index.postings, prepared.terms, index.average_length, broadcast_terms=True)
+    scored = score_matches(index.postings, prepared.terms, index.average_length, n_terms=prepared.n_terms)
     assert exchanges(scored) == 0
     assert exchanges(term_frequencies(index.chunks)) == 0
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         allowed = within(index.postings, index.chunks.where("category = 'sss'"))
-        filtered = score_matches(allowed, prepared.terms, index.average_length, broadcast_terms=True)
+        filtered = score_matches(allowed, prepared.terms, index.average_length, n_terms=prepared.n_terms)
         assert "SortMergeJoin" in filtered._jdf.queryExecution().executedPlan().toString() and exchanges(filtered) == 0
         assert {r.doc_no for r in filtered.collect()} == {r.doc_no for r in index.versions.where("category = 'sss'").collect()}
     finally:
@@ -254,3 +254,22 @@ def test_lookups_read_only_the_buckets_they_need(spark):
     assert index.near(hits, 1).chunks.rdd.getNumPartitions() == 1 < index.chunks.rdd.getNumPartitions()
     everything = with_chunks(index, hits, type(DEFAULTS)(max_pruned_documents=0))
     assert everything.collect() == with_chunks(index, hits).collect()
+
+
+def test_few_terms_are_pushed_to_the_scan(spark):
+    index = build_index(garden_store(spark))
+    prepared = prepare(index, queries(spark, "anahtar depozitosu"))
+    pruned = of_terms(index.postings, prepared)
+    assert "Or(EqualTo(term,anaht),EqualTo(term,depoz))" in pruned._jdf.queryExecution().executedPlan().toString()
+    whole = of_terms(index.postings, prepared, type(DEFAULTS)(max_pushed_terms=1))
+    score = lambda p: sorted(map(tuple, score_matches(p, prepared.terms, index.average_length, n_terms=prepared.n_terms).collect()))
+    assert score(pruned) == score(whole) != []
+
+
+def test_blocks_of_queries_give_the_same_rows_without_a_shuffle(spark):
+    index = build_index(garden_store(spark))
+    prepared = prepare(index, queries(spark, *[f"anahtar {w}" for w in ("sulama", "parsel", "kompost", "depozito", "sabah", "torba")]))
+    at_once, few = score_matches(index.postings, prepared.terms, index.average_length, n_terms=prepared.n_terms), type(DEFAULTS)(max_broadcast_rows=4)
+    blocked = score_matches(index.postings, prepared.terms, index.average_length, n_terms=prepared.n_terms, options=few)
+    assert sorted(map(tuple, blocked.collect())) == sorted(map(tuple, at_once.collect()))
+    assert exchanges(blocked) == 0

@@ -77,7 +77,7 @@ class Workbench:
         prepared = self.lexical_queries
         scored = bm25.score_matches(
             self.index.postings, prepared.terms, self.index.average_length,
-            broadcast_terms=prepared.n_terms <= DEFAULTS.max_broadcast_rows,
+            n_terms=prepared.n_terms,
         )
         return self.with_source(scored)
 
@@ -498,7 +498,7 @@ def w1_lexical_topk(spark, sf_dir):
     prepared = bench.lexical_queries
     scored = bm25.score_matches(
         bench.index.postings, prepared.terms, bench.index.average_length,
-        broadcast_terms=prepared.n_terms <= DEFAULTS.max_broadcast_rows,
+        n_terms=prepared.n_terms,
     )
     bounds = materialize(bm25.match_bounds(scored, DEFAULTS.candidate_pool), "match-bounds")
     ranked = bm25.best_matches(scored, bounds, DEFAULTS.candidate_pool)
