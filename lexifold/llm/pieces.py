@@ -232,10 +232,11 @@ class PieceLattice:
 
     def _sample(self, group: list, starts: list, parts: list) -> None:
         """Samples the stretches of ``group`` (text, number of the first stretch, stretches) into ``parts``."""
-        known: dict[str, int] = {}
         counts = [len(s) for _, _, s in group]
-        code = np.array([known.setdefault(s, len(known)) for _, _, ss in group for s in ss], np.int64)
-        different = list(known)
+        every = [s for _, _, ss in group for s in ss]
+        different = list(dict.fromkeys(every))
+        place_of = dict(zip(different, range(len(different)), strict=True))
+        code = np.fromiter(map(place_of.__getitem__, every), np.int64, len(every))
         long = np.array([len(s) > SHORT for s in different], bool)
         number = np.concatenate([np.arange(at, at + n) for (_, at, _), n in zip(group, counts, strict=True)])
         row_start = np.repeat(np.array([starts[i] for i, _, _ in group], np.uint64), counts)
