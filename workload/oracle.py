@@ -458,6 +458,13 @@ union all select 'two models', count(*), case when bool_and(vec_id % 50 <> 0) th
     "a10_ingest_summary": "select action, count(*) as documents from reconciled group by action",
     "a11_section_count": f"select source_id, coalesce(section_count, 0) as section_count from kb_documents left join ({COUNTED}) using (source_id)",
     "a12_conflict_rule": "select c.query_id, cast(conflict_no as bigint) as conflict_no, rule_satisfied from conflicts c join validated v using (query_id) where v.answerable",
+    "s7_next_store": """select r.source_id, r.file_name, r.content_hash, case when action = 'unchanged' then 1 else coalesce(n, 0) end as n_chunks
+from reconciled r left join (select upper(source_id) as id, count(*) as n from new_chunks group by 1) c on c.id = upper(r.source_id)
+where action <> 'removed'""",
+    "x1_embed": """select doc_id, failed, case when not failed then round(cast(a / sqrt(a * a + b * b) as float)::double, 5) end as first_part,
+  case when not failed then round(cast(b / sqrt(a * a + b * b) as float)::double, 5) end as second_part
+from (select doc_id, contains(text, 'AKIA') as failed, cast(length(text) as double) as a,
+  cast(length(text) - length(replace(text, 'e', '')) + 1 as double) as b from documents)""",
     "a14_status": """select 'ok' as status, true as ready, (select count(*) from kb_documents) as documents, (select count(*) from kb_chunks) as sections,
   'hybrid' as retrieval_mode, true as generator_configured, true as embedder_configured""",
     "w1_lexical_topk": "select query_id, rank, source_id, chunk_order, score, coverage from lex_lexical_pool",
