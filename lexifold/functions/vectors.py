@@ -21,11 +21,12 @@ def unit_length(vector: Column) -> Column:
 
 
 def cosine_similarity(left: Column, right: Column) -> Column:
-    """0 when the lengths differ or one vector has no length."""
+    """0 when the lengths differ, one vector has no length, or one holds a number that is not finite."""
     norms = _dot(left, left) * _dot(right, right)
-    return F.when((F.size(left) != F.size(right)) | (norms == 0), F.lit(0.0)).otherwise(
+    similarity = F.when((F.size(left) != F.size(right)) | (norms == 0), F.lit(0.0)).otherwise(
         _dot(left, right) / F.sqrt(norms)
     )
+    return F.nanvl(similarity, F.lit(0.0))
 
 
 def stable(score: Column, digits: int) -> Column:

@@ -37,7 +37,9 @@ def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
 def _cosines(queries: np.ndarray, chunks: np.ndarray) -> np.ndarray:
     norms = np.sqrt(np.outer((queries * queries).sum(axis=1), (chunks * chunks).sum(axis=1)))
     dots = queries @ chunks.T
-    scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+    with np.errstate(invalid="ignore"):
+        scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+    scores[np.isnan(scores)] = 0  # a vector with a number that is not finite is near to nothing
     return np.rint(scores * 10.0**DENSE_DIGITS) / 10.0**DENSE_DIGITS
 
 

@@ -273,3 +273,14 @@ def test_blocks_of_queries_give_the_same_rows_without_a_shuffle(spark):
     blocked = score_matches(index.postings, prepared.terms, index.average_length, n_terms=prepared.n_terms, options=few)
     assert sorted(map(tuple, blocked.collect())) == sorted(map(tuple, at_once.collect()))
     assert exchanges(blocked) == 0
+
+
+def test_vectors_that_are_not_finite_are_near_to_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, 0, v) for i, v in enumerate([[nan, 1.0], [1.0, 0.0], [inf, 0.0], [0.0, 1.0], [0.6, 0.8]])]
+    vectors = spark.createDataFrame(rows, "doc_no bigint, chunk_order int, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([(0, [0.0, 1.0])], "query_id bigint, vector array<float>")
+    got = nearest_chunks(vectors, asked, 3).orderBy("rank").collect()
+    assert [(r.doc_no, r.dense_score) for r in got] == [(3, 1.0), (4, 0.8), (0, 0.0)]
+    pairs = spark.createDataFrame([(0, i) for i in range(5)], "query_id bigint, doc_no bigint")
+    assert {r.doc_no: r.dense_score for r in dense_scores(vectors, asked, pairs).collect()} == {0: 0.0, 1: 0.0, 2: 0.0, 3: 1.0, 4: 0.8}

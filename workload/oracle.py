@@ -419,7 +419,9 @@ from (select source_id, case doc_id % 7 when 0 then version || '.3' when 1 then
     "t15_prompt": "select query_id, length(prompt) as n_chars, md5(prompt) as prompt_md5 from prompts",
     "t16_parse_reply": """select item_id, item_id % 4 <> 3 as valid, item_id % 4 <> 3 and item_id % 3 <> 0 as answerable,
   case when item_id % 4 = 3 then '' else json_extract_string(json_object('answer', text), '$.answer') end as answer,
-  case when item_id % 4 = 3 then '' else 'C' || item_id || '=' || md5(text) || ',C1=' || md5('') end as citations, cast(0 as bigint) as n_conflicts
+  case when item_id % 4 = 3 then '' else 'C' || item_id || '=' || md5(text) || ',C1=' || md5('') end as citations,
+  case when item_id % 4 = 3 then 0 else item_id % 3 end as n_conflicts,
+  case when item_id % 4 = 3 then '' else ['', 'C1<C2', 'C1<C2,C3<C2'][item_id % 3 + 1] end as conflicts
 from benchmark""",
     "c1_sections": """select source_id, cast(row_number() over (partition by source_id order by sec) - 1 as bigint) as section_no, cast(level as bigint) as level,
   coalesce(heading, '') as heading, md5(content) as content_md5 from kb_all_sections""",
@@ -455,7 +457,9 @@ from scored group by query_id""",
     "a8_families": """select document_key, source_id, version, effective_date, count(*) over (partition by document_key) as n_versions from kb_documents""",
     "a9_mode": """select 'one model' as store, count(*) as chunks, 'hybrid' as mode from kb_vectors
 union all select 'two models', count(*), case when bool_and(vec_id % 50 <> 0) then 'hybrid' else 'lexical' end from kb_vectors""",
-    "a10_ingest_summary": "select action, count(*) as documents from reconciled group by action",
+    "a10_ingest_summary": """select count(*) filter (action <> 'removed') as documents, count(*) filter (action = 'added') as added,
+  count(*) filter (action = 'updated') as updated, count(*) filter (action = 'removed') as removed, count(*) filter (action = 'unchanged') as unchanged
+from reconciled""",
     "a11_section_count": f"select source_id, coalesce(section_count, 0) as section_count from kb_documents left join ({COUNTED}) using (source_id)",
     "a12_conflict_rule": "select c.query_id, cast(conflict_no as bigint) as conflict_no, rule_satisfied from conflicts c join validated v using (query_id) where v.answerable",
     "s7_next_store": """select r.source_id, r.file_name, r.content_hash, case when action = 'unchanged' then 1 else coalesce(n, 0) end as n_chunks

@@ -16,7 +16,7 @@ from lexifold.operators import bm25
 from lexifold.operators.chunking import addressed_sections, heading_sections
 from lexifold.operators.dense import dense_scores, nearest_chunks
 from lexifold.operators.models import embed_texts
-from lexifold.operators.reconcile import duplicate_ids, embedding_pending, reconcile
+from lexifold.operators.reconcile import action_counts, duplicate_ids, embedding_pending, reconcile
 from lexifold.operators.validation import enough_evidence, validate_queries
 from lexifold.operators.versioning import current_versions
 from lexifold.options import DEFAULTS
@@ -306,6 +306,10 @@ def t16_parse_reply(spark, sf_dir):
                 F.struct(F.lit("  ").alias("chunkId"), F.col("text").alias("quote")),
                 F.struct(F.lit("C1").alias("chunkId"), F.lit(None).cast("string").alias("quote")),
             ).alias("citations"),
+            F.slice(
+                F.array(*[F.struct(F.col("text").alias("topic"), F.lit(c).alias("chosenChunkId"), F.array(F.lit("C2")).alias("rejectedChunkIds")) for c in ("C1", "C3")]),
+                F.lit(1), (F.col("item_id") % 3).cast("int"),
+            ).alias("conflicts"),
         )
     )
     broken = F.when(F.col("item_id") % 4 == 3, F.col("text")).otherwise(reply)
@@ -314,6 +318,7 @@ def t16_parse_reply(spark, sf_dir):
         "item_id", "p.valid", "p.answerable", "p.answer",
         F.array_join(F.transform("p.citations", lambda c: F.concat(c["label"], F.lit("="), F.md5(c["quote"]))), ",").alias("citations"),
         F.size("p.conflicts").cast("bigint").alias("n_conflicts"),
+        F.array_join(F.transform("p.conflicts", lambda c: F.concat(c["chosen"], F.lit("<"), F.array_join(c["rejected"], ";"), c["reason"])), ",").alias("conflicts"),
     )
 
 
@@ -484,7 +489,7 @@ def a9_mode(spark, sf_dir):
 
 @query
 def a10_ingest_summary(spark, sf_dir):
-    return _reconciled(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("documents"))
+    return action_counts(_reconciled(spark, sf_dir))
 
 
 @query
