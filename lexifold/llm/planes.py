@@ -54,8 +54,9 @@ class WordTokenizer(dict):
     a generation is full, what was used since the last one is kept.
     """
 
-    # The tokenizer file's splitting rule on lower-case text, and the parts it is right for.
-    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+"
+    # The tokenizer file's splitting rule on lower-case text, and the parts it is right for. The last kind
+    # of part takes all other characters of a word, so none is skipped; what the tokenizer takes for a blank is not plain.
+    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+"
     PLAIN = r"(?!.*<\|)[!-~\xdf-\xf6\xf8-\xff]+"
 
     def __init__(self, path: str, most: int = 200_000):

@@ -44,6 +44,15 @@ def test_files_hold_what_the_tokenizer_gives(spark, tmp_path, kind):
     assert all(r["n_ids"] <= 64 and len(r["planes"]) == (4 if kind == "byte" else 32) for r in index)
 
 
+def test_no_character_of_a_word_is_skipped():
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(FILE), planes.WordTokenizer(FILE)
+    blanks = [chr(c) for c in (*range(0x20), 0x7F, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x3000, 0xFEFF)]
+    for text in ["a\x1cb", "b\x1f", "\x1d", *blanks, *(f"a{c}b" for c in blanks), *(f"{c}'s{c}{c}7" for c in blanks)]:
+        assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_null_ids_and_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([(None, "a"), (None, None), (5, "b")], "doc_id long, text string")
     planes.write_ids(docs, str(tmp_path / "a"), FILE, 2)
