@@ -52,7 +52,7 @@ MORE_RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[^-]*(?:-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----)?", hints=("private key",)),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hints=("eyj",)),
     Rule("prefixed_token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", hints=("gh", "xox", "sk_live_")),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", hints=("://",)),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@", hints=("://",)),
 )
 RULES = BASE_RULES + MORE_RULES
 

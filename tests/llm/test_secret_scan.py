@@ -79,3 +79,9 @@ def test_query_against_brute_force(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
         assert set(spans) <= set(r["spans"].split(","))
+
+
+def test_logins_of_any_length():
+    for user, password in (("oauth2", "t" * 93), ("u" * 70, "pass"), ("u" * 5000, "p" * 50_000)):
+        login = f"https://{user}:{password}@"
+        assert ("url_login", 6, 6 + len(login)) in scan.find_spans(f"clone {login}host/x")
