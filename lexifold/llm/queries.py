@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import chat, cover_tree, crf, golay, mixing, pieces, planes, secret_scan, toxicity, url_models
+from lexifold.llm import chat, cover_tree, crf, golay, mixing, pieces, planes, ring, secret_scan, toxicity, url_models
 from lexifold.sources.scratch import materialize, new_folder
 
 
@@ -127,6 +127,18 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of a ring; capacities without slack, so counts differ by one at most."""
+    octets = F.coalesce(F.encode("text", "UTF-8"), F.lit("").cast("binary"))
+    sizes = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(octets) + 1).cast("long").alias("size"), F.crc32(octets).alias("text_crc32")
+    )
+    return ring.place(sizes, "doc_id", ring.Ring(shards=8)).select(
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bit_planes": op2_bit_planes,
@@ -138,4 +150,5 @@ QUERIES = {
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_blob_ledger": op9_blob_ledger,
     "op10_cover_tree": op10_cover_tree,
+    "op11_bounded_ring": op11_bounded_ring,
 }
