@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import chat, cover_tree, crf, golay, mixing, pieces, planes, ring, secret_scan, toxicity, url_models
+from lexifold.llm import chat, cover_tree, crf, golay, mixing, pieces, planes, ring, secret_scan, toxicity, url_models, whitening
 from lexifold.sources.scratch import materialize, new_folder
 
 
@@ -139,6 +139,23 @@ def op11_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def white_components(vectors: DataFrame) -> DataFrame:
+    """A row for each vector and component: the whitened value, and what holds for the vector, the component or all."""
+    white = whitening.fit(vectors, "vec_id", "embedding")
+    explained = F.array(*[F.lit(float(v / white.trace)) for v in white.values]).cast("array<double>")
+    return whitening.transform(white).select(
+        F.col("key").alias("vec_id"), F.lit(white.n).cast("long").alias("n"), "deviation", F.posexplode("whitened").alias("at", "whitened")
+    ).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(whitening.identity_error(white)).alias("identity_error"),
+    )
+
+
+def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors along the 32 leading components of their covariance."""
+    return white_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bit_planes": op2_bit_planes,
@@ -151,4 +168,5 @@ QUERIES = {
     "op9_blob_ledger": op9_blob_ledger,
     "op10_cover_tree": op10_cover_tree,
     "op11_bounded_ring": op11_bounded_ring,
+    "op12_chebyshev_whitening": op12_chebyshev_whitening,
 }
