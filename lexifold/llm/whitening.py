@@ -266,14 +266,16 @@ def leading_pairs(
         upper = max(upper, lower + 1e-8 * top)
         known, active = basis[:, :done], basis[:, done:]
 
-        def apart(matrix: np.ndarray, known: np.ndarray = known) -> np.ndarray:
-            return matrix - known @ (known.T @ matrix)
+        def rest(matrix: np.ndarray, known: np.ndarray = known, inside: float = (lower + upper) / 2) -> np.ndarray:
+            """The operator with the certified directions moved into the interval, where they are damped."""
+            image = apply(matrix)
+            return image - known @ (known.T @ image - inside * (known.T @ matrix))
 
         # The greatest active direction may not outgrow the last wanted one beyond what double precision keeps apart.
         growth = [np.arccosh(max(1.0, 1 + 2 * (v - upper) / (upper - lower))) for v in (top, last)]
         degree = max(1, min(options.degree, int(np.log(1e8) / max(growth[0] - growth[1], 1e-9))))
-        grown = filtered(lambda q: apart(apply(apart(q))), active, image[:, done:], (lower, upper), max(top, upper * (1 + 1e-8)), degree)
-        basis = np.linalg.qr(np.concatenate((known, apart(grown)), axis=1))[0]
+        grown = filtered(rest, active, image[:, done:], (lower, upper), max(top, upper * (1 + 1e-8)), degree)
+        basis = np.linalg.qr(np.concatenate((known, grown - known @ (known.T @ grown)), axis=1))[0]
     raise ArithmeticError(f"residual {residuals.max():.3g} after {options.rounds} rounds; widen the block or raise the degree")
 
 
