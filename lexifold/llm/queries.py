@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import chat, cover_tree, crf, golay, mixing, pieces, planes, ring, secret_scan, toxicity, url_models, whitening
+from lexifold.llm import chat, cover_tree, crf, golay, mixing, periodic, pieces, planes, ring, secret_scan, toxicity, url_models, whitening
 from lexifold.sources.scratch import materialize, new_folder
 
 
@@ -156,6 +156,44 @@ def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white_components(table(spark, sf_dir, "embeddings"))
 
 
+def planted_cycles(documents: DataFrame) -> DataFrame:
+    """``doc_id, text``: of one document in ten (by a checksum of its id) the words from some place on are made periodic."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def cycled(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        places = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(places, lambda i: F.get(words, i)), " "))
+
+    # The words are the one element of an array, so that they are made once and not for each of them.
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    text = F.when(h % 10 == 0, F.get(F.transform(F.array(words), cycled), F.lit(0))).otherwise(F.col("text"))
+    return documents.select("doc_id", text.alias("text"))
+
+
+def cyclic_runs(documents: DataFrame) -> DataFrame:
+    """Digests of the runs and of the collapsed words of ``documents`` with planted cycles."""
+    found = periodic.periodic_runs(planted_cycles(documents))
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), F.lit(0))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(line, lambda t: F.concat(t, F.lit("\n"))), "")
+    length, period = -best["l"], best["p"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        best["s"].alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_maximal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, with cycles planted in every tenth."""
+    return cyclic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bit_planes": op2_bit_planes,
@@ -169,4 +207,5 @@ QUERIES = {
     "op10_cover_tree": op10_cover_tree,
     "op11_bounded_ring": op11_bounded_ring,
     "op12_chebyshev_whitening": op12_chebyshev_whitening,
+    "op13_maximal_pairs": op13_maximal_pairs,
 }
