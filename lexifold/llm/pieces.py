@@ -10,7 +10,9 @@ usefulness, but holds no probabilities.
 No piece has a space mark inside, only at its start, so no arc crosses from a character to a following run of
 spaces; line ends are always bytes. The lattice therefore falls into independent stretches (a run of spaces with the
 characters after it, or a line end). A task takes a few hundred texts at a time and filters the different stretches in
-them, and then samples all their occurrences, by arrays; stretches of more than ``SHORT`` characters go one by one.
+them, and then samples all their occurrences, by arrays; stretches of more than ``SHORT`` characters, or so unlikely
+that doubles do not hold their weight, go one by one with rescaling. Which way a stretch goes, and all its numbers,
+depend on the stretch alone.
 
 A draw is a hash of the row key, the stretch's number in its text and the step, so the sample does not depend on how
 rows are spread over tasks. Encoding is lossless: there is no normalisation, a space is the mark, and a mark that is
@@ -36,6 +38,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 MARK = "▁"
 STRETCHES = re.compile(r"\n| *[^ \n]+| +")
 SHORT = 32
+LEAST_WAYS = 1e-250  # of a stretch that plain doubles hold; below, it is filtered with rescaling
 CHARS = 1_200_000  # of the texts that are sampled together
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,6 +76,7 @@ class PieceLattice:
             raise ValueError("a piece has a line end: stretches would not be independent")
         first = min(pieces.values(), default=0)
         size = model.get_piece_size()
+        self.texts = pa.array([self.text_of.get(i) for i in range(size)], pa.large_binary())
         # pieces by their text with plain spaces; a mark in a text is a character without a piece
         self.arcs = {p.replace(MARK, " "): (i, (i - first + 1.0) ** -options.sharpness) for p, i in pieces.items()}
         self.byte_weight = (size - first + 1.0) ** -options.sharpness
@@ -221,14 +225,17 @@ class PieceLattice:
         for a, b in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(at)])).tolist(), strict=True):
             share[a:b] = ways[start[a:b]] * weight[a:b]
             ways[end[a:b]] += share[a:b]
-        share /= ways[end]
+        reached = ways[end]
+        share = np.divide(share, reached, out=np.zeros_like(share), where=reached > 0)
         order = np.argsort(end, kind="stable")
-        end = end[order]
-        upto = np.cumsum(share[order])
+        end, upto = end[order], share[order]
         begin = np.searchsorted(end, np.arange(len(ways) + 1))
-        below = np.concatenate(([0.0], upto))[begin[:-1]]
+        arcs_into = np.diff(begin)
+        for k in range(1, int(arcs_into.max(initial=1))):  # shares are added up within a node, so that no other stretch matters
+            at = begin[:-1][arcs_into > k] + k
+            upto[at] += upto[at - 1]
         last = first + lengths + np.arange(len(stretches))
-        return last, start[order], piece[order], upto, begin, below
+        return last, start[order], piece[order], upto, begin, ways[last] < LEAST_WAYS
 
     def _sample(self, group: list, starts: list, parts: list) -> None:
         """Samples the stretches of ``group`` (text, number of the first stretch, stretches) into ``parts``."""
@@ -240,20 +247,21 @@ class PieceLattice:
         long = np.array([len(s) > SHORT for s in different], bool)
         number = np.concatenate([np.arange(at, at + n) for (_, at, _), n in zip(group, counts, strict=True)])
         row_start = np.repeat(np.array([starts[i] for i, _, _ in group], np.uint64), counts)
-        short_of = np.cumsum(~long) - 1
-        last, start, piece, upto, begin, below = self._lattices([s for s, x in zip(different, long, strict=True) if not x] or [" "])
+        short_of = np.cumsum(~long) - 1  # long ones, and those found to be faint below, are sampled one by one
+        last, start, piece, upto, begin, faint = self._lattices([s for s, x in zip(different, long, strict=True) if not x] or [" "])
+        long[~long] = faint[: int((~long).sum())]
         is_long = long[code]
         who = np.flatnonzero(~is_long)
         node = last[short_of[code[who]]]
         total, taken, step = np.zeros(len(code), np.int64), [], 0
-        root = np.zeros(len(below), bool)
+        root = np.zeros(len(begin) - 1, bool)
         root[np.diff(begin) == 0] = True
         while len(who):
             arc = begin[node]
             many = np.flatnonzero(begin[node + 1] - arc > 1)
             if len(many):
                 at, stop = arc[many], begin[node[many] + 1] - 1
-                goal = below[node[many]] + draws(row_start[who[many]], number[who[many]], step)
+                goal = draws(row_start[who[many]], number[who[many]], step)
                 on = np.arange(len(many))
                 while len(on):
                     on = on[(at[on] < stop[on]) & (upto[at[on]] <= goal[on])]
@@ -288,8 +296,17 @@ class PieceLattice:
         for (i, _, _), a, b in zip(group, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             parts[i].append(out[a:b])
 
-    def decode(self, ids) -> str:
-        return b"".join([self.text_of[i] for i in ids]).decode()
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list of ids; null counts as no ids. Pieces taken one after the other are the texts already."""
+        lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        taken = self.texts.take(ids.flatten())
+        if taken.null_count:
+            raise ValueError("an id that no text can give")
+        edges = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        ends = edges[np.concatenate(([0], np.cumsum(lengths)))] if len(taken) else np.zeros(len(ids) + 1, np.int64)
+        data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+        texts = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), data])
+        return texts.cast(pa.large_string()).cast(pa.string())
 
 
 def xxh64(data: bytes, seed: int) -> int:
@@ -348,7 +365,7 @@ def decode(encoded: DataFrame, model_file: str, options: SampleOptions = SampleO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = worker_lattice(model_file, options)
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            texts = pa.array([lattice.decode(ids or []) for ids in batch.column("_ids").to_pylist()], pa.string())
+            texts = lattice.decode(batch.column("_ids"))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in schema.names[:-1]), texts], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lexifold.llm import pieces
 
@@ -60,6 +61,33 @@ def test_samples_follow_the_lattice(lattice, text):
         assert abs(got[ids] / n - share) < 5 * np.sqrt(share * (1 - share) / n) + 2e-4
 
 
+def test_a_row_is_sampled_alike_beside_any_other(lattice):
+    """Texts of many characters without a piece, four bytes each, weigh less than a double holds."""
+    rng = np.random.default_rng(2)
+    faint = ["".join(chr(0x10000 + int(c)) for c in rng.integers(0, 0x8000, n)) for n in (16, 17, 20, 32, 33, 90)]
+    texts = [t or "" for t in TEXTS] + faint + [f + " and words" for f in faint] + ["plain " + f for f in faint]
+    keys = [str(i % 7) for i in range(len(texts))]
+    together = [x.tolist() for x in lattice.encode(texts, keys)]
+    alone = [lattice.encode([t], [k])[0].tolist() for t, k in zip(texts, keys, strict=True)]
+    behind = [x.tolist() for x in lattice.encode(texts[::-1] + faint * 3, keys[::-1] + ["k"] * (3 * len(faint)))][: len(texts)]
+    assert together == alone == behind[::-1]
+    lists = pa.array(together, pa.list_(pa.int32()))
+    assert lattice.decode(lists).to_pylist() == texts
+    assert lattice.decode(lists.slice(3, 5)).to_pylist() == texts[3:8]
+
+
+@pytest.mark.parametrize("n", [17, 20])
+def test_shares_of_stretches_that_weigh_almost_nothing(lattice, n):
+    text = "".join(chr(0x20000 + 37 * i) for i in range(n)) + "the"
+    tail, draws = segmentations(lattice, "the"), 4000
+    total = sum(w for _, w in tail)
+    got = Counter(tuple(x.tolist()[4 * n :]) for x in lattice.encode([text] * draws, [str(i) for i in range(draws)]))
+    assert len(got) > 1 and set(got) <= {ids for ids, _ in tail}
+    for ids, w in tail:
+        share = w / total
+        assert abs(got[ids] / draws - share) < 5 * np.sqrt(share * (1 - share) / draws) + 3e-4
+
+
 def test_long_stretches_agree_with_short_ones(lattice, monkeypatch):
     texts = [t or "" for t in TEXTS] + [" internationalization of words", "a" * 31]
     keys = [str(i) for i in range(len(texts))]
