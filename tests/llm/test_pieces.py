@@ -99,10 +99,49 @@ def test_long_stretches_agree_with_short_ones(lattice, monkeypatch):
     assert [x.tolist() for x in lattice.encode(texts, keys)] == single
 
 
-def test_query(spark):
+def plain_sample(lattice, text, key):
+    """A text's sample, stretch by stretch and place by place, with exact shares."""
+    import re
+    from fractions import Fraction
+
+    import xxhash
+
+    start, out = np.uint64(xxhash.xxh64_intdigest(key.encode(), 23)), []
+    for number, stretch in enumerate(re.findall(r"\n| *[^ \n]+| +", text)):
+        into, ways = [[] for _ in range(len(stretch) + 1)], [Fraction(1)] + [Fraction(0)] * len(stretch)
+        for at in range(len(stretch)):
+            steps = [(end, *lattice.arcs[stretch[at:end]]) for end in range(at + 1, len(stretch) + 1) if stretch[at:end] in lattice.arcs]
+            steps = [(end, (i,), Fraction(w)) for end, i, w in steps]
+            if not any(end == at + 1 for end, *_ in steps):
+                octets = stretch[at].encode()
+                steps.append((at + 1, tuple(lattice.bytes_at[b] for b in octets), Fraction(lattice.byte_weight) ** len(octets)))
+            for end, ids, weight in steps:
+                into[end].append((at, ids, ways[at] * weight))
+                ways[end] += ways[at] * weight
+        at, step, back = len(stretch), 0, []
+        while at:
+            goal, upto = float(pieces.draws(np.array([start]), np.array([number]), step)[0]), Fraction(0)
+            for before, ids, weight in into[at]:
+                upto += weight / ways[at]
+                if goal < upto:
+                    break
+            back.append(ids)
+            at, step = before, step + 1
+        out += [i for ids in reversed(back) for i in ids]
+    return out
+
+
+def test_query(spark, lattice):
+    import zlib
+
     from lexifold.llm.queries import op8_sampled_pieces
 
-    sf = "/root/testdata/sf0.01"
-    rows = op8_sampled_pieces(spark, sf).collect()
-    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert all(r["lossless"] and r["n_pieces"] > 0 for r in rows)
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in op8_sampled_pieces(spark, sf).collect()}
+    assert set(got) == set(docs) and all(r["lossless"] for r in got.values())
+    short = {i: t for i, t in docs.items() if len(t) < 3000}
+    assert len(short) > 0.7 * len(docs)
+    for i, text in short.items():
+        ids = plain_sample(lattice, text, str(i))
+        assert (got[i]["n_pieces"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(",".join(map(str, ids)).encode()))
