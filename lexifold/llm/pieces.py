@@ -296,7 +296,10 @@ class PieceLattice:
         for (i, _, _), a, b in zip(group, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             parts[i].append(out[a:b])
 
-    def decode(self, ids: pa.ListArray) -> pa.Array:
+    def decode(self, ids) -> str:
+        return b"".join([self.text_of[i] for i in ids]).decode()
+
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
         """The text of each list of ids; null counts as no ids. Pieces taken one after the other are the texts already."""
         lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         taken = self.texts.take(ids.flatten())
@@ -365,7 +368,7 @@ def decode(encoded: DataFrame, model_file: str, options: SampleOptions = SampleO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = worker_lattice(model_file, options)
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            texts = lattice.decode(batch.column("_ids"))
+            texts = lattice.decode_lists(batch.column("_ids"))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in schema.names[:-1]), texts], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -168,12 +168,12 @@ def redact_all(documents: DataFrame, folder: str, rules: tuple = RULES, mask: st
     joined to it; null texts stay null.
     """
     found = read_ledger(documents.sparkSession, folder, rules).where(F.size("spans") > 0).dropDuplicates(["blob"])
-    found = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    # The rows travel as one struct, so no column of theirs can clash with the helper's.
     blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    rows = documents.withColumn("_blob_of", blob).join(found, F.col("_blob_of") == F.col("_blob"), "left")
-    rows = rows.withColumn("_new", F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"), mask)))
-    changed = {"text": F.coalesce("_new", "text")}
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), blob.alias("blob"))
+    joined = rows.join(found, "blob", "left").select("row", F.when(F.col("spans").isNotNull(), redact(F.col("row.text"), F.col("spans"), mask)).alias("masked"))
+    changed = {"text": F.coalesce("masked", "row.text")}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col("n_chars"))
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns])
+        changed["n_chars"] = F.when(F.col("masked").isNotNull(), F.length("masked").cast(kind)).otherwise(F.col("row.n_chars"))
+    return joined.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])

@@ -72,8 +72,8 @@ def test_a_row_is_sampled_alike_beside_any_other(lattice):
     behind = [x.tolist() for x in lattice.encode(texts[::-1] + faint * 3, keys[::-1] + ["k"] * (3 * len(faint)))][: len(texts)]
     assert together == alone == behind[::-1]
     lists = pa.array(together, pa.list_(pa.int32()))
-    assert lattice.decode(lists).to_pylist() == texts
-    assert lattice.decode(lists.slice(3, 5)).to_pylist() == texts[3:8]
+    assert lattice.decode_lists(lists).to_pylist() == texts
+    assert lattice.decode_lists(lists.slice(3, 5)).to_pylist() == texts[3:8]
 
 
 @pytest.mark.parametrize("n", [17, 20])

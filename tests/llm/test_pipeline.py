@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 from lexifold.llm import crf, pieces, secret_scan
-from test_golay import expected as simhash_of
+from test_shingles import expected as similar_to
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,10 +41,10 @@ def test_quality(spark, stages):
 
 
 def test_near_duplicates(stages):
-    before, after = stages["simhash_near_dedup"]
+    before, after = stages["near_duplicates"]
     assert after.columns == before.columns
-    top = simhash_of([(r["doc_id"], r["text"]) for r in before.collect()])
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, (_, c) in top.items() if i == c)
+    top, _ = similar_to([(r["doc_id"], r["text"]) for r in before.collect()])
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, c in top.items() if i == c)
 
 
 def test_secrets(stages):
@@ -88,6 +88,37 @@ def test_token_ids(spark, stages):
     assert all(r["n_pieces"] == len(r["ids"]) for r in got)
 
 
+def test_near_duplicates_by_row(spark):
+    """Different texts of one id stay, rows of a null id are in groups, other columns come through."""
+    def text(k, n=40):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+
+    near = text(1).replace("w1x20", "changed")
+    rows = [
+        (1, text(1), "a", 1), (1, text(2), "b", 2), (2, text(3), "c", 3), (2, text(3), "c", 3), (3, near + " and", "d", 4), (None, text(4), "e", 5),
+        (None, text(4), "f", 6), (None, text(2) + " more", "g", 7), (4, None, "h", 8), (5, "", "i", 9), (None, None, "j", 10),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class string, of_id int").repartition(4)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in got.collect())
+    assert kept == [(0, "w4x0"), (1, "w1x0"), (1, "w2x0"), (2, "w3x0"), (3, "w1x0"), (4, "")]
+
+
+def test_other_columns_come_through(spark):
+    extra = {"domain": "mine", "n_tokens": "7", "take_tokens": "8", "epoch": "9", "_new": "n", "_blob": "b", "_spans": "s", "blob": "x", "row": "r", "masked": "m", "component": "c"}
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{words} text {i} " + f"password = hunter{i}hunter", "en", "src0", 5, *extra.values()) for i in range(3)]
+    rows = [(i, t.replace("word", f"w{i}"), *rest) for i, t, *rest in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {r["doc_id"] for r in got} == {0, 1, 2}, name
+        assert all(r[c] == v for r in got for c, v in extra.items()), name
+
+
 def test_odd_rows(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     long = " ".join(f"word{i}" for i in range(30)) + "."
