@@ -12,7 +12,8 @@ class RetrievalOptions:
     ``max_broadcast_rows`` and ``max_broadcast_values`` bound the query-side
     rows and vector components shipped to every executor at a time; bigger
     batches go in blocks of queries. Up to ``max_pushed_terms`` query terms are
-    named in the filter of the postings, which are sorted by term. Up to ``max_pruned_documents`` documents, a lookup
+    named in the filter of the postings, which are sorted by term. The ``first_blocks`` most promising blocks of documents
+    per query are scored before the others, or one in ``first_share`` where those would be more. Up to ``max_pruned_documents`` documents, a lookup
     names the documents so that the other buckets are not read.
     """
 
@@ -33,6 +34,8 @@ class RetrievalOptions:
     max_broadcast_values: int = 16_000_000
     max_pruned_documents: int = 1_000
     max_pushed_terms: int = 64
+    first_blocks: int = 2
+    first_share: int = 8
 
 
 @dataclass(frozen=True)

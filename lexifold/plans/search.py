@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from lexifold.functions.text import query_embedding_text, tokens
 from lexifold.operators.bm25 import (
     CHUNK,
-    best_matches,
+    LexicalPool,
     distinct_query_terms,
-    match_bounds,
+    pool_by_blocks,
     score_candidates,
-    score_matches,
     weigh_query_terms,
 )
 from lexifold.operators.dense import dense_scores, nearest_chunks
@@ -39,10 +38,11 @@ class PreparedQueries:
 
 @dataclass(frozen=True)
 class SearchResult:
-    """``hits``: ranked chunks per query with their scores; ``stats``: mode and best scores per query."""
+    """``hits``: ranked chunks per query with their scores; ``stats``: mode and best scores per query; ``lexical``: the word pool."""
 
     hits: DataFrame
     stats: DataFrame
+    lexical: LexicalPool
 
 
 def prepare(
@@ -85,7 +85,7 @@ def within(postings: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def of_terms(postings: DataFrame, prepared: PreparedQueries, options: RetrievalOptions = DEFAULTS) -> DataFrame:
-    """Postings of the terms asked for: few terms are named in the filter, and the scan skips the pages of all others.
+    """Postings or block maxima of the terms asked for: few terms are named in the filter, and the scan skips the pages of all others.
 
     The terms are compared one by one, as a long ``IN`` list is pushed down only as a range.
     """
@@ -125,12 +125,11 @@ def search(
         allowed = index.chunks.where(where)
         postings, vectors = within(postings, allowed), allowed.select(*CHUNK, "embedding")
 
-    postings = of_terms(postings, prepared, options)
-    scored = score_matches(postings, prepared.terms, index.average_length, n_terms=prepared.n_terms, options=options)
-    # Two passes over the postings instead of sorting every match: bounds first, then what reaches them.
-    bounds = materialize(match_bounds(scored, options.candidate_pool), "match-bounds")
-    lexical = materialize(best_matches(scored, bounds, options.candidate_pool), "lexical-pool")
-    coverage = bounds.select("query_id", "max_coverage")
+    found = pool_by_blocks(
+        of_terms(postings, prepared, options), of_terms(index.blocks, prepared, options), prepared.terms, index.average_length,
+        n_terms=prepared.n_terms, pool=options.candidate_pool, options=options,
+    )
+    lexical, coverage = found.ranked, found.coverage
 
     lists = lexical.select("query_id", F.lit(LEXICAL_LIST).alias("list_no"), "rank", *CHUNK)
     dense = None
@@ -193,7 +192,7 @@ def search(
         F.coalesce("max_dense", F.lit(0.0)).alias("max_dense"),
         F.coalesce("max_coverage", F.lit(0.0)).alias("max_coverage"),
     )
-    return SearchResult(hits, stats)
+    return SearchResult(hits, stats, found)
 
 
 def search_requests(
