@@ -128,14 +128,14 @@ def vectors_usable(chunks: DataFrame, model: str | None) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("chunks"), mode.alias("mode"))
 
 
-def _write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
+def write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
     # The catalogue entry only carries the bucketing; the data stays at the path.
     name = f"lexifold_write_{uuid.uuid4().hex[:12]}"
     df.write.bucketBy(buckets, "doc_no").option("path", path).format("parquet").saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")
 
 
-def _read_bucketed(spark: SparkSession, columns: str, path: str, buckets: int) -> DataFrame:
+def read_bucketed(spark: SparkSession, columns: str, path: str, buckets: int) -> DataFrame:
     name = f"lexifold_{uuid.uuid4().hex[:12]}"
     place = path.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc_no) INTO {buckets} BUCKETS LOCATION '{place}'")
@@ -177,13 +177,13 @@ def write_segment(store: Store, versions: DataFrame, path: str, buckets: int, se
     chunk_names = CHUNK_COLUMNS.replace(",", "").split()[0::2]
     chunks = store.chunks.join(versions, "source_id").select(*chunk_names).repartition(buckets, "doc_no")
     chunks = chunks.sortWithinPartitions("doc_no", "chunk_order")
-    _write_bucketed(chunks, f"{path}/chunks", buckets)
-    chunks = _read_bucketed(spark, CHUNK_COLUMNS, f"{path}/chunks", buckets)
+    write_bucketed(chunks, f"{path}/chunks", buckets)
+    chunks = read_bucketed(spark, CHUNK_COLUMNS, f"{path}/chunks", buckets)
 
     # Bucketed scan, so neither the count per term nor the bucketed write moves a row. Sorted by term for row-group skipping.
     postings = term_frequencies(chunks).select("doc_no", "chunk_order", "dl", "term", "tf")
-    _write_bucketed(postings.sortWithinPartitions("term"), f"{path}/postings", buckets)
-    postings = _read_bucketed(spark, POSTING_COLUMNS, f"{path}/postings", buckets)
+    write_bucketed(postings.sortWithinPartitions("term"), f"{path}/postings", buckets)
+    postings = read_bucketed(spark, POSTING_COLUMNS, f"{path}/postings", buckets)
 
     # A block lies in one bucket, so what a task passes on is a row for each of its terms and blocks.
     maxima = block_maxima(postings.withColumn("block", block_of(F.col("doc_no"), buckets, segment)))
@@ -237,7 +237,7 @@ def load_index(spark: SparkSession, path: str, options: RetrievalOptions = DEFAU
     def of_all(read: Callable[[int, str], DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, [read(number, folder) for number, folder in enumerate(segments)])
 
-    dead = of_all(lambda n, folder: _read_bucketed(spark, DEAD_COLUMNS, f"{folder}/dead", buckets) if n else spark.createDataFrame([], DEAD_COLUMNS))
+    dead = of_all(lambda n, folder: read_bucketed(spark, DEAD_COLUMNS, f"{folder}/dead", buckets) if n else spark.createDataFrame([], DEAD_COLUMNS))
 
     def live(rows: DataFrame) -> DataFrame:
         if not n_dead:
@@ -245,14 +245,14 @@ def load_index(spark: SparkSession, path: str, options: RetrievalOptions = DEFAU
         return rows.join(F.broadcast(dead) if n_dead <= options.max_broadcast_rows else dead, "doc_no", "left_anti")
 
     def postings(number: int, folder: str) -> DataFrame:
-        table = _read_bucketed(spark, POSTING_COLUMNS, f"{folder}/postings", buckets)
+        table = read_bucketed(spark, POSTING_COLUMNS, f"{folder}/postings", buckets)
         return table.withColumn("block", block_of(F.col("doc_no"), buckets, number))
 
     terms = of_all(lambda _, folder: spark.read.schema(TERM_COLUMNS).parquet(f"{folder}/terms"))
     if len(segments) > 1:  # later segments take back what their dead documents had
         terms = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     return KnowledgeIndex(
-        chunks=live(of_all(lambda _, folder: _read_bucketed(spark, CHUNK_COLUMNS, f"{folder}/chunks", buckets))),
+        chunks=live(of_all(lambda _, folder: read_bucketed(spark, CHUNK_COLUMNS, f"{folder}/chunks", buckets))),
         postings=live(of_all(postings)),
         blocks=of_all(lambda _, folder: spark.read.schema(BLOCK_COLUMNS).parquet(f"{folder}/blocks")),
         terms=terms,
