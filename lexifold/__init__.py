@@ -6,13 +6,15 @@ from lexifold.plans.catalog import document_detail, document_versions, list_docu
 from lexifold.plans.index import KnowledgeIndex, build_index, load_index
 from lexifold.plans.ingest import IngestRejected, ingest
 from lexifold.plans.search import prepare, search, with_chunks
-from lexifold.sources.audit_log import append_audit_log
-from lexifold.sources.markdown import read_markdown_folder
+from lexifold.plans.segments import merge_segments, refresh_index, update_index
+from lexifold.sources.audit_log import append_audit_log, compact_audit_log, read_audit_log
+from lexifold.sources.markdown import folder_manifest, read_changed_markdown, read_markdown_folder, write_markdown_folder
 from lexifold.sources.store import Store, empty_store, read_store, write_store
 
 __all__ = [
     "DEFAULTS", "EmbeddingOptions", "IngestRejected", "KnowledgeIndex", "RetrievalOptions", "Store",
-    "answer_questions", "append_audit_log", "build_context", "build_index", "document_detail", "document_versions",
-    "empty_store", "ingest", "list_documents", "load_index", "prepare", "read_markdown_folder", "read_store", "search",
-    "status", "validate_answers", "version_report", "with_chunks", "write_store",
+    "answer_questions", "append_audit_log", "build_context", "build_index", "compact_audit_log", "document_detail",
+    "document_versions", "empty_store", "folder_manifest", "ingest", "list_documents", "load_index", "merge_segments",
+    "prepare", "read_audit_log", "read_changed_markdown", "read_markdown_folder", "read_store", "refresh_index", "search",
+    "status", "update_index", "validate_answers", "version_report", "with_chunks", "write_markdown_folder", "write_store",
 ]

@@ -29,7 +29,7 @@ def in_effect(status: Column, effective_date: Column, as_of: datetime.date) -> C
 
 
 def discard_reason(
-    effective_date: Column, current_version: Column, current_date: Column, as_of: datetime.date
+    effective_date: Column, current_version: Column, current_date: Column, as_of: datetime.date | Column
 ) -> Column:
     """A future date is named first, then a family without a version in effect, then the version that replaced it."""
 

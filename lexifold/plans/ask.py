@@ -63,13 +63,19 @@ def merge_substitutes(kept: DataFrame, substitutes: DataFrame, top_k: int) -> Da
 
 
 def build_context(
-    index: KnowledgeIndex, prepared: PreparedQueries, as_of: datetime.date, options: RetrievalOptions = DEFAULTS
+    index: KnowledgeIndex, prepared: PreparedQueries, as_of: datetime.date | None, options: RetrievalOptions = DEFAULTS
 ) -> AskContext:
-    """Twice ``top_k`` candidates are fetched, as outdated versions fall away before the cut."""
+    """Twice ``top_k`` candidates are fetched, as outdated versions fall away before the cut.
+
+    Versions are resolved on the day ``as_of``, or without one on each question's own day, the column ``as_of`` of the queries.
+    """
     result = search(index, prepared, top_k=2 * options.top_k, options=options)
     evidence = enough_evidence(F.col("mode"), F.col("max_dense"), F.col("max_coverage"), options)
     retrieval = materialize(result.stats.withColumn("evidence", evidence), "retrieval")
-    hits = materialize(result.hits.join(index.versions, "doc_no"), "hits")
+    hits = result.hits.join(index.versions, "doc_no")
+    if as_of is None:
+        hits = hits.join(prepared.queries.select("query_id", "as_of"), "query_id")
+    hits = materialize(hits, "hits")
 
     answerable = retrieval.where("evidence").select("query_id")
     resolution = Resolution(
@@ -185,7 +191,7 @@ def answer_questions(
     index: KnowledgeIndex | None,
     questions: DataFrame,
     generate: GenerateFn,
-    as_of: datetime.date,
+    as_of: datetime.date | None,
     embed: EmbedFn | None = None,
     embedding: EmbeddingOptions | None = None,
     report_scope: str = CITED,
@@ -195,6 +201,9 @@ def answer_questions(
 ) -> DataFrame:
     """One row per question: status, answer or refusal, and the whole response as JSON.
 
+    ``as_of``: the day for all questions, or None for each question's own (column ``as_of``), as when logged questions
+    of many days are asked again.
+
     ``status``: 200 answered or refused, 400 invalid question, 503 no index
     (then only the first columns are there) or generator unavailable, 502 reply
     unusable. ``report_scope`` decides whether version resolution is reported

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,47 @@ def read_markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def folder_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """``file_name, length, modified`` of every ``*.md`` directly in the folder; no file is opened."""
+    return spark.read.format("binaryFile").load(folder, pathGlobFilter="*.md").select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified")
+    )
+
+
+def read_changed_markdown(spark: SparkSession, folder: str, manifest: DataFrame, max_named: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """Texts of the files that are new or differ from a former ``manifest`` in size or time, and the names that are gone.
+
+    Up to ``max_named`` files are named in the filter, so that no other file is opened; more are joined by name.
+    """
+    now = folder_manifest(spark, folder)
+    changed = now.join(manifest, ["file_name", "length", "modified"], "left_anti").select(F.url_decode("file_name").alias("changed_name"))
+    names = [r[0] for r in changed.limit(max_named + 1).collect()]
+    texts = read_markdown_folder(spark, folder)
+    if len(names) <= max_named:
+        texts = texts.where(F.col("file_name").isin(names) if names else F.lit(False))
+    else:
+        texts = texts.join(changed, texts["file_name"] == F.col("changed_name"), "left_semi")
+    return texts, manifest.select("file_name").join(now, "file_name", "left_anti")
+
+
+def write_markdown_folder(files: DataFrame, folder: str) -> None:
+    """One file for each row of ``files`` (file_name, text), written by the tasks; ``folder`` is a URI or path all of them reach.
+
+    A repeated task writes the same files again. Names have to be different, without a separator.
+    """
+
+    def write(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        system.create_dir(root, recursive=True)
+        for row in rows:
+            with system.open_output_stream(f"{root}/{row['file_name']}") as stream:
+                stream.write((row["text"] or "").encode())
+
+    files.select("file_name", "text").foreachPartition(write)
+
+
 def canonical_text(text: Column) -> Column:
     """No byte-order mark, LF line ends: the same document hashes the same on every checkout."""
     return F.replace(F.ltrim(text, F.lit("﻿")), F.lit("\r\n"), F.lit("\n"))

@@ -13,6 +13,7 @@ from workload.views import (
     DOCUMENTS_SQL,
     FAULTY_FILE_SQL,
     LABEL_SPELLINGS_SQL,
+    OWN_DAY_SQL,
     REQUESTS_SQL,
     VALID_FILE_SQL,
 )
@@ -260,14 +261,14 @@ from (select document_key, count(*) as n_versions from kb_documents group by 1)
 part("candidates", hits_sql("hyb", True, 12))
 
 
-def reason_sql() -> str:
+def reason_sql(as_of: str = AS_OF_SQL) -> str:
     def filled(text: str, *values: str) -> str:
         quoted = text.replace("'", "''")
         for value in values:
             quoted = quoted.replace("%s", f"' || {value} || '", 1)
         return f"'{quoted}'"
 
-    return f"""case when kept then null when effective_date > {AS_OF_SQL} then {filled(versions.REASON_FUTURE, "strftime(effective_date, '%Y-%m-%d')")}
+    return f"""case when kept then null when effective_date > {as_of} then {filled(versions.REASON_FUTURE, "strftime(effective_date, '%Y-%m-%d')")}
     when current_id is null then {filled(versions.REASON_NO_CURRENT)}
     else {filled(versions.REASON_SUPERSEDED, "current_version", "strftime(current_date, '%Y-%m-%d')")} end"""
 
@@ -281,6 +282,21 @@ from (select c.*, n_versions > 1 as multi_version, current_id, current_version,
     "f.current_date as current_date", 'f."current_date" as "current_date"').replace("strftime(current_date,", 'strftime("current_date",'))
 PARTS["currents"] = PARTS["currents"].replace("as current_date", 'as "current_date"')
 PARTS["families"] = PARTS["families"].replace("current_version, current_date", 'current_version, "current_date"')
+part("own_days", f"""
+select c.*, {OWN_DAY_SQL} as as_of, count(*) over (partition by query_id, source_id, chunk_order) as n from candidates c
+  semi join (select query_id from gated where evidence) g using (query_id)""")
+part("own_currents", """
+select query_id, document_key, source_id as current_id, version as current_version, effective_date as "current_date" from (
+  select a.query_id, v.*, row_number() over (partition by a.query_id, document_key order by v.effective_date desc, vkey desc, file_name) as n
+  from (select distinct query_id, document_key, as_of from own_days) a join version_keys v using (document_key)
+  where v.status <> 'superseded' and v.effective_date <= a.as_of) where n = 1""")
+part("own_resolution", f"""
+select *, multi_version and current_id is not null and not bool_or(kept) over (partition by query_id, document_key) as needs_substitution,
+  {reason_sql("as_of")} as reason
+from (select d.*, n_versions > 1 as multi_version, o.current_id, o.current_version, o."current_date" as "current_date",
+    n_versions = 1 or coalesce(d.source_id = o.current_id, false) as kept
+  from own_days d join families f using (document_key) left join own_currents o using (query_id, document_key))""".replace(
+    "strftime(current_date,", 'strftime("current_date",'))
 part("needs", """
 select query_id, document_key, current_id as source_id, min(rank) as replaced_rank from resolution where needs_substitution group by all""")
 part("scored_needs", "select scored.* from scored semi join needs using (query_id, source_id)")
@@ -489,6 +505,12 @@ from (select doc_id, contains(text, 'AKIA') as failed, cast(length(text) as doub
   code as message_code, case when code is null then least(k, 20, coalesce(n, 0)) else 0 end as n_hits
 from checked_requests left join found_by_requests using (query_id)
 union all select 'no index', query_id, case when code is null then 503 else 400 end, coalesce(code, 'index_not_ready'), 0 from checked_requests""",
+    "w1_lexical_blocks": "select query_id, rank, source_id, chunk_order, score, coverage from lex_lexical_pool",
+    "l2_incremental_index": f"select {HIT_COLUMNS} from lex_hits",
+    "l2_incremental_stats": """select term, df from document_frequency union all select ' documents', count(*) from kb_documents
+union all select ' chunks', count(*) from kb_chunks union all select ' occurrences', cast(sum(tf) as bigint) from postings""",
+    "l5_as_of_resolution": "select query_id, as_of, rank, source_id, multi_version, kept, reason, current_id, needs_substitution from own_resolution",
+    "s1_folder_scan": "select file_name, length(valid_text) as n_chars, md5(valid_text) as text_md5 from kb_valid",
     "l5_resolution": "select query_id, rank, source_id, multi_version, kept, reason, current_id, needs_substitution from resolution",
     "l6_report_cited": """select r.* from report r semi join (select query_id, document_key from citations semi join
   (select query_id from validated where answerable) v using (query_id)) c using (query_id, document_key)""",
@@ -517,4 +539,13 @@ from kb_documents left join ({COUNTED}) using (source_id)""",
 from kb_documents left join kb_chunks using (source_id)""",
 }
 
+_QUERIES["s8_audit_log"] = f"""select a.query_id, md5(b.text) as question_md5, true as same_question, answerable, refusal_reason, answerable as json_answerable,
+  answer as json_answer, refusal_reason as json_reason, source_ids, n_selected, n_discarded, 'hybrid' as mode, coalesce(candidates, '') as candidates,
+  coalesce(context_ids, '') as context_ids
+from ({_QUERIES["l9_answers"]}) a join benchmark b on b.item_id = a.query_id
+  left join (select query_id, string_agg(source_id, ',' order by first_rank) as candidates
+    from (select query_id, source_id, min(rank) as first_rank from candidates group by all) group by 1) c on c.query_id = a.query_id
+  left join (select query_id, string_agg(source_id, ',' order by position) as context_ids from context group by 1) x on x.query_id = a.query_id
+where status = 200"""
+
 ORACLES = {name: statement(sql) for name, sql in _QUERIES.items()}

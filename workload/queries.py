@@ -22,10 +22,12 @@ from lexifold.operators.versioning import current_versions
 from lexifold.options import DEFAULTS
 from lexifold.plans import ask
 from lexifold.plans.catalog import document_detail, document_versions, list_documents, look_up, status
-from lexifold.plans.index import build_index, vectors_usable
+from lexifold.plans.index import KnowledgeIndex, build_index, vectors_usable
 from lexifold.plans.ingest import ingest
 from lexifold.plans.search import prepare, search, search_requests, with_chunks
-from lexifold.sources.markdown import parse_markdown, split_front_matter
+from lexifold.plans.segments import update_index
+from lexifold.sources.audit_log import append_audit_log, read_audit_log
+from lexifold.sources.markdown import parse_markdown, read_markdown_folder, split_front_matter, write_markdown_folder
 from lexifold.sources.scratch import materialize, new_folder
 from lexifold.sources.store import Store, documents_with_chunks, write_store
 from workload import views
@@ -66,10 +68,29 @@ class Workbench:
     def hybrid(self):
         return search(self.index, self.hybrid_queries)
 
+    @cached_property
+    def updated_index(self):
+        """The index of a former state of the store, and a segment with what changed since."""
+        store = views.kb_store(self.spark, self.sf_dir)
+        before, changed = views.kb_earlier_store(self.spark, self.sf_dir, store)
+        return update_index(build_index(before, model=MODEL), store, changed, model=MODEL)
+
     @cached_property
     def asked(self):
         return ask.build_context(self.index, self.hybrid_queries, AS_OF)
 
+    @cached_property
+    def asked_on_own_days(self):
+        """Every question on a day of its own."""
+        queries = views.kb_queries(self.spark, self.sf_dir).withColumn("as_of", F.expr(views.OWN_DAY_SQL))
+        return ask.build_context(self.index, prepare(self.index, queries), None)
+
+    @cached_property
+    def answers(self):
+        asked = views.kb_queries(self.spark, self.sf_dir)
+        unfit = self.spark.createDataFrame([(-1, " \n "), (-2, "x" * 501)], "query_id bigint, text string")
+        return ask.answer_questions(self.index, asked.unionByName(unfit, allowMissingColumns=True), quote_first_line, AS_OF)
+
     @cached_property
     def validated(self):
         return ask.validate_answers(views.kb_replies(self.asked.context), self.asked.context)
@@ -104,6 +125,38 @@ def _big(*names: str):
 # --- sources -------------------------------------------------------------------------------------
 
 
+@query
+def s1_folder_scan(spark, sf_dir):
+    """All documents as files of a folder, and what a scan of the folder finds."""
+    folder = new_folder(spark, "markdown")
+    write_markdown_folder(views.kb_files(spark, sf_dir, faulty=False), folder)
+    return read_markdown_folder(spark, folder).select("file_name", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def s8_audit_log(spark, sf_dir):
+    """The log of a batch that was appended twice, with the fields of its responses."""
+    path = new_folder(spark, "audit-log")
+    answers = workbench(spark, sf_dir).answers
+    for _ in range(2):
+        append_audit_log(answers, path, batch_id="batch")
+    schema = answers.drop("response_json").select(
+        "question", "answerable", "answer", "sources", F.col("version_resolution").alias("versionResolution"), F.col("refusal_reason").alias("refusalReason"), "diagnostics"
+    ).schema
+    logged = read_audit_log(spark, path).withColumn("r", F.from_json("response_json", schema))
+
+    def listed(items, field: str):
+        return F.array_join(F.transform(items, lambda i: i[field]), ",")
+
+    return logged.select(
+        "query_id", F.md5("question").alias("question_md5"), (F.col("question") == F.col("r.question")).alias("same_question"), "answerable",
+        "refusal_reason", F.col("r.answerable").alias("json_answerable"), F.col("r.answer").alias("json_answer"), F.col("r.refusalReason").alias("json_reason"),
+        listed(F.col("r.sources"), "documentId").alias("source_ids"), F.size("r.versionResolution.selected").cast("bigint").alias("n_selected"),
+        F.size("r.versionResolution.discarded").cast("bigint").alias("n_discarded"), F.col("r.diagnostics.retrievalMode").alias("mode"),
+        F.array_join("r.diagnostics.candidateDocumentIds", ",").alias("candidates"), listed(F.col("r.diagnostics.context"), "documentId").alias("context_ids"),
+    )
+
+
 @query
 def s2_front_matter(spark, sf_dir):
     split = split_front_matter(views.kb_files(spark, sf_dir, faulty=True))
@@ -523,6 +576,13 @@ def w1_lexical_topk(spark, sf_dir):
     return bench.with_source(ranked).select("query_id", *_big("rank"), "source_id", *_big("chunk_order"), "score", "coverage")
 
 
+@query
+def w1_lexical_blocks(spark, sf_dir):
+    """The same pool by block maxima."""
+    bench = workbench(spark, sf_dir)
+    return bench.with_source(bench.lexical.lexical.ranked).select("query_id", *_big("rank"), "source_id", *_big("chunk_order"), "score", "coverage")
+
+
 @query
 def w2_dense_topk(spark, sf_dir):
     bench = workbench(spark, sf_dir)
@@ -586,8 +646,8 @@ def l1_ingest_summary(spark, sf_dir):
     return ingest(files, before).summary
 
 
-def _hit_rows(bench: Workbench, hits: DataFrame) -> DataFrame:
-    return with_chunks(bench.index, hits).select(
+def _hit_rows(bench: Workbench, hits: DataFrame, index: KnowledgeIndex | None = None) -> DataFrame:
+    return with_chunks(index or bench.index, hits).select(
         "query_id", *_big("rank"), "source_id", *_big("chunk_order"), "document_key", "version", "effective_date", "status", "category",
         "section_path", F.md5("content").alias("content_md5"), F.round("fused_score", 12).alias("fused_score"), "lexical_score", "coverage",
         "dense_score",
@@ -612,6 +672,31 @@ def l4_search_filtered(spark, sf_dir):
     return _hit_rows(bench, search(bench.index, bench.hybrid_queries, where=F.col("category").isin("politika", "prosedur")).hits)
 
 
+@query
+def l2_incremental_index(spark, sf_dir):
+    """Search in an index that was brought up to date by a segment."""
+    bench = workbench(spark, sf_dir)
+    index = bench.updated_index
+    found = search(index, prepare(index, views.kb_queries(spark, sf_dir).drop("vector")))
+    return _hit_rows(bench, found.hits, index)
+
+
+@query
+def l2_incremental_stats(spark, sf_dir):
+    """Terms of the updated index with their document frequencies, and its counts under empty terms."""
+    index = workbench(spark, sf_dir).updated_index
+    counts = index.summary.select(F.expr("stack(3, ' documents', n_documents, ' chunks', n_chunks, ' occurrences', n_terms) as (term, df)"))
+    return index.terms.select("term", *_big("df")).unionByName(counts)
+
+
+@query
+def l5_as_of_resolution(spark, sf_dir):
+    """Versions resolved on a day of its own for every question."""
+    return workbench(spark, sf_dir).asked_on_own_days.resolution.hits.select(
+        "query_id", "as_of", *_big("rank"), "source_id", "multi_version", "kept", "reason", F.col("current.source_id").alias("current_id"), "needs_substitution"
+    )
+
+
 @query
 def l5_resolution(spark, sf_dir):
     return workbench(spark, sf_dir).asked.resolution.hits.select(
@@ -676,11 +761,7 @@ def quote_first_line(messages: list[dict]) -> dict:
 
 @query
 def l9_answers(spark, sf_dir):
-    bench = workbench(spark, sf_dir)
-    asked = views.kb_queries(spark, sf_dir)
-    unfit = spark.createDataFrame([(-1, " \n "), (-2, "x" * 501)], "query_id bigint, text string")
-    asked = asked.unionByName(unfit, allowMissingColumns=True)
-    answers = ask.answer_questions(bench.index, asked, quote_first_line, AS_OF)
+    answers = workbench(spark, sf_dir).answers
     ids = F.array_join(F.transform("sources", lambda s: s["documentId"]), ",")
     return answers.select(
         "query_id", *_big("status"), "answerable", "refusal_reason", "answer", ids.alias("source_ids"),

@@ -54,6 +54,9 @@ FAULTY_FILE_SQL = f"""case doc_id % 9
   when 7 then replace(valid_text, concat('title: "', title, '"'), concat('title: >', chr(10), '  ', title))
   else valid_text end"""
 
+# The day on which a question is asked.
+OWN_DAY_SQL = "date '2024-01-01' + cast(query_id * 97 % 1100 as int)"
+
 REQUESTS_SQL = """
 select conv_id * 1000 + turn as query_id,
   case when conv_id % 10 = 9 then '   ' else text end as text,
@@ -166,6 +169,28 @@ def kb_stored_before(spark: SparkSession, sf_dir: str, hashes: DataFrame) -> Sto
     return Store(stored, chunks)
 
 
+def kb_earlier_store(spark: SparkSession, sf_dir: str, store: Store) -> tuple[Store, DataFrame]:
+    """A former state of ``store`` with its chunks, and the ids that differ: see ``kb_stored_before`` for what ``labels`` say."""
+    labels = kb_documents(spark, sf_dir).select("doc_id", "source_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    old = F.concat(F.lit("old-"), F.col("item_id").cast("string"))
+    gone = table(spark, sf_dir, "benchmark").select(old.alias("source_id"), F.concat(old, F.lit(".md")).alias("file_name"))
+    gone = gone.withColumns({"document_key": F.col("source_id"), "title": F.lit("Eski"), "version": F.lit("1.0"), "status": F.lit("active"), "category": F.lit("sss")})
+    gone = gone.withColumn("effective_date", F.lit("2023-01-01").cast("date"))
+    known = labels.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    documents = store.documents.join(known, "source_id", "left_semi").unionByName(document_rows(gone))
+    former = labels.where("quality = 0").select("source_id")
+    same = store.chunks.join(known, "source_id", "left_semi").join(former, "source_id", "left_anti")
+    columns = CHUNK_SCHEMA.replace(",", "").split()
+    given = {"chunk_order": F.lit(0), "section_path": F.lit("Eski"), "content": F.concat(F.lit("eski metin the and "), F.col("source_id"))}
+    kinds = list(zip(columns[0::2], columns[1::2], strict=True))[1:]
+    other = former.unionByName(gone.select("source_id")).select(
+        "source_id", *[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds]
+    )
+    added = labels.join(known, "source_id", "left_anti").select("source_id")
+    changed = added.unionByName(former).unionByName(gone.select("source_id"))
+    return Store(documents, same.unionByName(other)), changed
+
+
 def kb_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark text is a query; its vector is one of the given ones."""
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
