@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +36,18 @@ _GOES_ON = rf"(?m)^(?:{_KEYS})[ \t]*:[^\n]*\n+[ \t]+[^\s#]"
 
 def read_markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
     """``file_name, text`` of every ``*.md`` directly in the folder, one whole file per row."""
-    return (
-        spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
-    )
+    return _texts(spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")).unionByName(_empty(folder_manifest(spark, folder)))
+
+
+def _empty(manifest: DataFrame) -> DataFrame:
+    """Files without a byte, which readers of text pass over."""
+    return manifest.where("length = 0").select("file_name", F.lit("").alias("text"))
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    """The metadata has names as in a URI: a space is ``%20`` there, but a plus sign is itself."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return files.select(name.alias("file_name"), F.col("value").alias("text"))
 
 
 def folder_manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,16 +60,19 @@ def folder_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def read_changed_markdown(spark: SparkSession, folder: str, manifest: DataFrame, max_named: int = 1_000) -> tuple[DataFrame, DataFrame]:
     """Texts of the files that are new or differ from a former ``manifest`` in size or time, and the names that are gone.
 
-    Up to ``max_named`` files are named in the filter, so that no other file is opened; more are joined by name.
+    Up to ``max_named`` files are opened by their names, and no other; more are joined by name.
     """
     now = folder_manifest(spark, folder)
-    changed = now.join(manifest, ["file_name", "length", "modified"], "left_anti").select(F.url_decode("file_name").alias("changed_name"))
+    changed = now.join(manifest, ["file_name", "length", "modified"], "left_anti").select(F.col("file_name").alias("changed_name"))
     names = [r[0] for r in changed.limit(max_named + 1).collect()]
-    texts = read_markdown_folder(spark, folder)
-    if len(names) <= max_named:
-        texts = texts.where(F.col("file_name").isin(names) if names else F.lit(False))
-    else:
+    if len(names) > max_named:
+        texts = read_markdown_folder(spark, folder)
         texts = texts.join(changed, texts["file_name"] == F.col("changed_name"), "left_semi")
+    elif names:
+        paths = [f"{folder}/" + re.sub(r"([\\\[\]{}*?])", r"\\\1", name) for name in names]  # a name is no pattern
+        texts = _texts(spark.read.text(paths, wholetext=True)).unionByName(_empty(now.where(F.col("file_name").isin(names))))
+    else:
+        texts = spark.createDataFrame([], "file_name string, text string")
     return texts, manifest.select("file_name").join(now, "file_name", "left_anti")
 
 
