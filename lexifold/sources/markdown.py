@@ -35,13 +35,11 @@ _GOES_ON = rf"(?m)^(?:{_KEYS})[ \t]*:[^\n]*\n+[ \t]+[^\s#]"
 
 
 def read_markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """``file_name, text`` of every ``*.md`` directly in the folder, one whole file per row."""
-    return _texts(spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")).unionByName(_empty(folder_manifest(spark, folder)))
+    """``file_name, text`` of every ``*.md`` directly in the folder, one whole file per row.
 
-
-def _empty(manifest: DataFrame) -> DataFrame:
-    """Files without a byte, which readers of text pass over."""
-    return manifest.where("length = 0").select("file_name", F.lit("").alias("text"))
+    Spark's readers pass over files without a byte, so those are not seen, here and in the manifest.
+    """
+    return _texts(spark.read.text(folder, wholetext=True, pathGlobFilter="*.md"))
 
 
 def _texts(files: DataFrame) -> DataFrame:
@@ -70,7 +68,7 @@ def read_changed_markdown(spark: SparkSession, folder: str, manifest: DataFrame,
         texts = texts.join(changed, texts["file_name"] == F.col("changed_name"), "left_semi")
     elif names:
         paths = [f"{folder}/" + re.sub(r"([\\\[\]{}*?])", r"\\\1", name) for name in names]  # a name is no pattern
-        texts = _texts(spark.read.text(paths, wholetext=True)).unionByName(_empty(now.where(F.col("file_name").isin(names))))
+        texts = _texts(spark.read.text(paths, wholetext=True))
     else:
         texts = spark.createDataFrame([], "file_name string, text string")
     return texts, manifest.select("file_name").join(now, "file_name", "left_anti")
