@@ -9,12 +9,14 @@ from lexifold.plans.search import prepare, search, with_chunks
 from lexifold.plans.segments import merge_segments, refresh_index, update_index
 from lexifold.sources.audit_log import append_audit_log, compact_audit_log, read_audit_log
 from lexifold.sources.markdown import folder_manifest, read_changed_markdown, read_markdown_folder, write_markdown_folder
-from lexifold.sources.store import Store, empty_store, read_store, write_store
+from lexifold.sources.store import Store, StoreChanges, StoreMoved, empty_store, read_store, write_changes, write_store
 
 __all__ = [
     "DEFAULTS", "EmbeddingOptions", "IngestRejected", "KnowledgeIndex", "RetrievalOptions", "Store",
+    "StoreChanges", "StoreMoved",
     "answer_questions", "append_audit_log", "build_context", "build_index", "compact_audit_log", "document_detail",
     "document_versions", "empty_store", "folder_manifest", "ingest", "list_documents", "load_index", "merge_segments",
     "prepare", "read_audit_log", "read_changed_markdown", "read_markdown_folder", "read_store", "refresh_index", "search",
-    "status", "update_index", "validate_answers", "version_report", "with_chunks", "write_markdown_folder", "write_store",
+    "status", "update_index", "validate_answers", "version_report", "with_chunks", "write_changes", "write_markdown_folder",
+    "write_store",
 ]

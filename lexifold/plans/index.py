@@ -13,7 +13,6 @@ with the changed documents alone and the numbers that are dead from then on.
 from __future__ import annotations
 
 import datetime
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -23,11 +22,11 @@ from pyspark.sql import functions as F
 
 from lexifold.operators.bm25 import block_maxima, document_frequencies, term_frequencies
 from lexifold.options import DEFAULTS, RetrievalOptions
+from lexifold.sources.bucketed import read_bucketed, write_bucketed
 from lexifold.sources.scratch import materialize, new_folder
-from lexifold.sources.store import Store
+from lexifold.sources.store import DOCUMENTS_PER_BUCKET, Store
 
 HYBRID, LEXICAL = "hybrid", "lexical"
-DOCUMENTS_PER_BUCKET = 100_000
 # Numbers of neighbours in a new index are 2^24 apart; a block takes about 64 documents of a bucket.
 GAP_BITS, BLOCK_BITS = 24, 6
 
@@ -128,23 +127,6 @@ def vectors_usable(chunks: DataFrame, model: str | None) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("chunks"), mode.alias("mode"))
 
 
-def write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
-    # The catalogue entry only carries the bucketing; the data stays at the path.
-    name = f"lexifold_write_{uuid.uuid4().hex[:12]}"
-    df.write.bucketBy(buckets, "doc_no").option("path", path).format("parquet").saveAsTable(name)
-    df.sparkSession.sql(f"DROP TABLE {name}")
-
-
-def read_bucketed(spark: SparkSession, columns: str, path: str, buckets: int) -> DataFrame:
-    name = f"lexifold_{uuid.uuid4().hex[:12]}"
-    place = path.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc_no) INTO {buckets} BUCKETS LOCATION '{place}'")
-    table = spark.table(name)
-    # The table is resolved by now; the catalogue entry of this external table only carried the bucketing.
-    spark.sql(f"DROP TABLE {name}")
-    return table
-
-
 def build_index(store: Store, model: str | None = None, path: str | None = None, buckets: int | None = None) -> KnowledgeIndex:
     """Write the index tables of a store. ``model`` is the embedder's name, None without an embedder.
 

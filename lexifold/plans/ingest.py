@@ -16,7 +16,7 @@ from lexifold.options import MAX_CHUNK_CHARS, EmbeddingOptions
 from lexifold.plans.index import vectors_usable
 from lexifold.sources.markdown import parse_markdown
 from lexifold.sources.scratch import materialize
-from lexifold.sources.store import CHUNK_SCHEMA, DOCUMENT_SCHEMA, Store
+from lexifold.sources.store import CHUNK_SCHEMA, DOCUMENT_SCHEMA, Store, StoreChanges
 
 EMBEDDING_UNAVAILABLE = "embedding_unavailable"
 
@@ -34,11 +34,12 @@ class IngestRejected(ValueError):
 
 @dataclass(frozen=True)
 class IngestOutcome:
-    """The next state of the store (not yet written) and a one-row summary."""
+    """The next state of the store (not yet written), what differs from the former one, and a one-row summary."""
 
     store: Store
     plan: DataFrame
     summary: DataFrame
+    changes: StoreChanges
 
 
 def check_sources(catalog: DataFrame) -> None:
@@ -76,13 +77,14 @@ def ingest(
     """``files``: ``file_name, text``. Unchanged files keep chunks and vectors; the rest is chunked and embedded anew.
 
     The first pass over the texts keeps only metadata and hashes. Texts are
-    read again, and chunked, for added and updated files alone.
+    read again, and chunked, for added and updated files alone. Of the stored
+    chunks those of unchanged documents are neither moved nor written, but for
+    documents that have a chunk without a vector of this model.
     """
     parsed = parse_markdown(files)
     catalog = materialize(parsed.drop("body"), "catalog")
     check_sources(catalog)
     plan = materialize(reconcile(catalog, store.documents), "plan")
-    documents = next_documents(plan, run_at)
 
     changed = plan.where(F.col("action").isin("added", "updated")).select("file_name", F.col("source_id").alias("stored_id"))
     bodies = parsed.select("file_name", "title", "body").join(changed, "file_name").select(
@@ -93,18 +95,26 @@ def ingest(
         "source_id", "chunk_order", "section_path", "content",
         F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"),
     )
-    unchanged = plan.where(F.col("action") == "unchanged").select("source_id")
-    chunks = store.chunks.join(unchanged, "source_id", "left_semi").select(*columns).unionByName(fresh)
+    differing = plan.where(F.col("action") != "unchanged").select("source_id")
+    kept = store.chunks.select(*columns).join(differing, "source_id", "left_anti")
+    documents = materialize(next_documents(plan, run_at), "documents")
 
     embedded, warning, model = 0, None, None
     if embed is not None:
         embedding = embedding or EmbeddingOptions(model="default")
         model = embedding.model
-        chunks, embedded, warning = embed_missing(chunks, documents, embed, embedding)
+        stale = materialize(kept.where(embedding_pending(model)).select("source_id").distinct(), "stale")
+        differing = materialize(differing.unionByName(stale), "differing")
+        work = materialize(fresh.unionByName(kept.join(stale, "source_id", "left_semi")), "work")
+        kept = kept.join(stale, "source_id", "left_anti")
+        work, embedded, warning = embed_missing(work, documents, embed, embedding)
     else:
-        chunks = materialize(chunks, "chunks")
+        differing = materialize(differing, "differing")
+        work = materialize(fresh, "chunks")
+    chunks = kept.unionByName(work)
     summary = ingest_summary(plan, chunks, embedded, model, warning)
-    return IngestOutcome(Store(documents, chunks), plan, summary)
+    changes = StoreChanges(store.version, documents.join(differing, "source_id", "left_semi"), work, differing)
+    return IngestOutcome(Store(documents, chunks), plan, summary, changes)
 
 
 def embed_missing(

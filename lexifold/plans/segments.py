@@ -20,8 +20,9 @@ from lexifold.operators.bm25 import block_maxima
 from lexifold.options import DEFAULTS, RetrievalOptions
 from lexifold.plans.index import (
     BLOCK_COLUMNS, GAP_BITS, POSTING_COLUMNS, VERSION_SCHEMA, Counts, KnowledgeIndex, block_of, build_index, load_index, segment_counts,
-    write_bucketed, write_segment, write_summary,
+    write_segment, write_summary,
 )
+from lexifold.sources.bucketed import write_bucketed
 from lexifold.sources.scratch import broadcast_if_small, materialize, new_folder
 from lexifold.sources.store import Store
 

@@ -397,6 +397,8 @@ _QUERIES = {
     "s4_validation": "select file_name, source_id, document_key, title, version, effective_date, status, category, supersedes, error from validated_files",
     "s5_content_hash": "select file_name, upper(sha256(c)) as content_hash from canonical",
     "s6_documents_with_chunks": """select source_id, d.title, d.version, chunk_order, section_path, md5(content) as content_md5
+from kb_documents d left join kb_chunks using (source_id)""",
+    "s6_stored_segments": """select source_id, d.title, d.version, chunk_order, section_path, md5(content) as content_md5
 from kb_documents d left join kb_chunks using (source_id)""",
     "s9_index_stats": """select 'postings' as statistic, count(*) as value from postings union all select 'occurrences', cast(sum(tf) as bigint) from postings
 union all select 'terms', count(*) from document_frequency union all select 'total_df', cast(sum(df) as bigint) from document_frequency
@@ -480,6 +482,10 @@ from reconciled""",
     "a12_conflict_rule": "select c.query_id, cast(conflict_no as bigint) as conflict_no, rule_satisfied from conflicts c join validated v using (query_id) where v.answerable",
     "s7_next_store": """select r.source_id, r.file_name, r.content_hash, case when action = 'unchanged' then 1 else coalesce(n, 0) end as n_chunks
 from reconciled r left join (select upper(source_id) as id, count(*) as n from new_chunks group by 1) c on c.id = upper(r.source_id)
+where action <> 'removed'""",
+    "s7_store_changes": """select r.source_id, r.file_name, r.content_hash, case when action = 'unchanged' then 1 else coalesce(n, 0) end as n_chunks,
+  action <> 'unchanged' as rewritten
+from reconciled r left join (select upper(source_id) as id, count(*) as n from new_chunks group by 1) c on c.id = upper(r.source_id)
 where action <> 'removed'""",
     "x1_embed": """select doc_id, failed, case when not failed then round(cast(a / sqrt(a * a + b * b) as float)::double, 5) end as first_part,
   case when not failed then round(cast(b / sqrt(a * a + b * b) as float)::double, 5) end as second_part

@@ -29,7 +29,7 @@ from lexifold.plans.segments import update_index
 from lexifold.sources.audit_log import append_audit_log, read_audit_log
 from lexifold.sources.markdown import parse_markdown, read_markdown_folder, split_front_matter, write_markdown_folder
 from lexifold.sources.scratch import materialize, new_folder
-from lexifold.sources.store import Store, documents_with_chunks, write_store
+from lexifold.sources.store import Store, StoreChanges, documents_with_chunks, write_changes, write_store
 from workload import views
 from workload.views import AS_OF, MODEL
 
@@ -207,6 +207,37 @@ def s7_next_store(spark, sf_dir):
     )
 
 
+@query
+def s7_store_changes(spark, sf_dir):
+    """The next store as a segment beside the former ones: what it holds, and which documents were written again."""
+    files = views.kb_files(spark, sf_dir, faulty=False)
+    hashes = materialize(parse_markdown(files).select("source_id", "content_hash"), "hashes")
+    path = new_folder(spark, "store")
+    before = write_store(views.kb_stored_before(spark, sf_dir, hashes), path)
+    stored = write_changes(ingest(files, before).changes, path)
+    written = spark.read.parquet(f"{path}/{stored.version.segments[-1]}/documents").select(F.col("id").alias("source_id"), F.lit(True).alias("written"))
+    sections = stored.chunks.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return stored.documents.join(sections, "source_id", "left").join(written, "source_id", "left").select(
+        "source_id", "file_name", "content_hash", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
+        F.coalesce("written", F.lit(False)).alias("rewritten"),
+    )
+
+
+@query
+def s6_stored_segments(spark, sf_dir):
+    """Documents with chunks from a store of two segments, the second of which replaced, removed and added documents."""
+    store = views.kb_store(spark, sf_dir)
+    earlier, changed = views.kb_earlier_store(spark, sf_dir, store)
+    path, changed = new_folder(spark, "store"), materialize(changed, "changed")
+    before = write_store(earlier, path)
+    documents, chunks = (rows.join(changed, "source_id", "left_semi") for rows in (store.documents, store.chunks))
+    stored = write_changes(StoreChanges(before.version, documents, chunks, changed), path)
+    return documents_with_chunks(stored).select(
+        "source_id", "title", "version", F.col("chunk_order").cast("bigint").alias("chunk_order"), "section_path",
+        F.md5("content").alias("content_md5"),
+    )
+
+
 @query
 def s9_index_stats(spark, sf_dir):
     index = workbench(spark, sf_dir).index
