@@ -40,6 +40,7 @@ class IngestOutcome:
     plan: DataFrame
     summary: DataFrame
     changes: StoreChanges
+    reused_vectors: int = 0
 
 
 def check_sources(catalog: DataFrame) -> None:
@@ -79,7 +80,10 @@ def ingest(
     The first pass over the texts keeps only metadata and hashes. Texts are
     read again, and chunked, for added and updated files alone. Of the stored
     chunks those of unchanged documents are neither moved nor written, but for
-    documents that have a chunk without a vector of this model.
+    documents that have a chunk without a vector of this model. A chunk of an
+    updated file keeps the vector of a former chunk whose embedding text and
+    model are the same; ``embedded_chunks`` counts these too, and
+    ``reused_vectors`` says how many texts were not sent.
     """
     parsed = parse_markdown(files)
     catalog = materialize(parsed.drop("body"), "catalog")
@@ -99,22 +103,45 @@ def ingest(
     kept = store.chunks.select(*columns).join(differing, "source_id", "left_anti")
     documents = materialize(next_documents(plan, run_at), "documents")
 
-    embedded, warning, model = 0, None, None
+    embedded, reused, warning, model = 0, 0, None, None
     if embed is not None:
         embedding = embedding or EmbeddingOptions(model="default")
         model = embedding.model
         stale = materialize(kept.where(embedding_pending(model)).select("source_id").distinct(), "stale")
         differing = materialize(differing.unionByName(stale), "differing")
-        work = materialize(fresh.unionByName(kept.join(stale, "source_id", "left_semi")), "work")
+        updated = plan.where(F.col("action") == "updated").select("source_id")
+        former = Store(*(rows.join(updated, "source_id", "left_semi") for rows in (store.documents, store.chunks)))
+        fresh = materialize(reuse_vectors(fresh, documents, former, embedding), "fresh")
+        reused = fresh.where("embedding is not null").count()
+        work = fresh.unionByName(kept.join(stale, "source_id", "left_semi"))
         kept = kept.join(stale, "source_id", "left_anti")
         work, embedded, warning = embed_missing(work, documents, embed, embedding)
+        embedded += 0 if warning else reused
     else:
         differing = materialize(differing, "differing")
         work = materialize(fresh, "chunks")
     chunks = kept.unionByName(work)
     summary = ingest_summary(plan, chunks, embedded, model, warning)
     changes = StoreChanges(store.version, documents.join(differing, "source_id", "left_semi"), work, differing)
-    return IngestOutcome(Store(documents, chunks), plan, summary, changes)
+    return IngestOutcome(Store(documents, chunks), plan, summary, changes, reused)
+
+
+def reuse_vectors(fresh: DataFrame, documents: DataFrame, former: Store, embedding: EmbeddingOptions) -> DataFrame:
+    """``fresh`` chunks, with the vector of this model that a ``former`` chunk of the document has for the same embedding text.
+
+    Of repeated texts with different vectors the least counts. A document's chunks spread over the hashes of their
+    texts, so a huge document is no single task, and its former texts are combined before they are shuffled.
+    """
+    columns = CHUNK_SCHEMA.replace(",", "").split()[0::2]
+    text = embedding_text(F.col("title"), F.col("section_path"), F.col("content"), embedding.document_prefix)
+
+    def hashed(chunks: DataFrame, titles: DataFrame) -> DataFrame:
+        return chunks.select(*columns).join(titles.select("source_id", "title"), "source_id").withColumn("text_hash", F.sha2(text, 256))
+
+    usable = former.chunks.where(~embedding_pending(embedding.model))
+    known = hashed(usable, former.documents).groupBy("source_id", "text_hash").agg(F.min("embedding").alias("known"))
+    met = hashed(fresh, documents).join(known, ["source_id", "text_hash"], "left").withColumn("embedding", F.col("known"))
+    return met.withColumn("embedding_model", F.when(F.col("known").isNotNull(), F.lit(embedding.model))).select(*columns)
 
 
 def embed_missing(

@@ -79,6 +79,33 @@ def test_failing_embedder_leaves_a_lexical_store(spark):
     assert summary(calls)["chunks"] == 3
 
 
+def test_vectors_of_same_texts_are_kept(spark):
+    sent = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        sent.add(len(texts))
+        return embed(texts)
+
+    before = markdown("a", "## Bir\n\nilk metin\n\n## Iki\n\nayni\n\n## Iki\n\nayni\n")
+    first = ingest(files(spark, a=before, b=RETURNS), empty_store(spark), counted, MODEL).store
+    assert sent.value == 5
+    # A section before the others, one text changed: the repeated texts keep their vectors at their new places.
+    after = markdown("a", "## Sifir\n\nyeni\n\n## Bir\n\nbaska metin\n\n## Iki\n\nayni\n\n## Iki\n\nayni\n")
+    second = ingest(files(spark, a=after, b=RETURNS), first, counted, MODEL)
+    assert (sent.value, second.reused_vectors, summary(second)["embedded_chunks"]) == (7, 2, 4)
+    anew = ingest(files(spark, a=after, b=RETURNS), empty_store(spark), embed, MODEL).store
+
+    def rows(store):
+        return sorted((r.source_id, r.chunk_order, r.content, tuple(r.embedding), r.embedding_model) for r in store.chunks.collect())
+
+    assert rows(second.store) == rows(anew)
+    # Another title or another model is another text: nothing is reused.
+    titled = markdown("a", "## Iki\n\nayni\n", title="Baska")
+    assert ingest(files(spark, a=titled, b=RETURNS), first, embed, MODEL).reused_vectors == 0
+    other = ingest(files(spark, a=after, b=RETURNS), first, embed, EmbeddingOptions(model="m2", batch_size=2))
+    assert (other.reused_vectors, summary(other)["embedded_chunks"]) == (0, 6)
+
+
 def test_no_embedder(spark):
     row = summary(ingest(files(spark, iade=RETURNS), empty_store(spark)))
     assert (row["embedded_chunks"], row["retrieval_mode"], row["warning"]) == (0, "lexical", None)
