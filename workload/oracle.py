@@ -167,6 +167,8 @@ part("changed_bodies", """
 select v.source_id, v.title, v.body || chr(10) || 'Son not.' || chr(10) as body
 from kb_valid v join reconciled r using (file_name) where r.action in ('added', 'updated')""")
 chunk_parts("changed_bodies", "new")
+part("noted_bodies", "select source_id, title, body || chr(10) || 'Son not.' || chr(10) as body from kb_valid")
+chunk_parts("noted_bodies", "noted")
 
 # --- index ---------------------------------------------------------------------------------------
 
@@ -491,6 +493,9 @@ where action <> 'removed'""",
   case when not failed then round(cast(b / sqrt(a * a + b * b) as float)::double, 5) end as second_part
 from (select doc_id, contains(text, 'AKIA') as failed, cast(length(text) as double) as a,
   cast(length(text) - length(replace(text, 'e', '')) + 1 as double) as b from documents)""",
+    "x1_reused_vectors": """select source_id, chunk_order, md5(content) as content_md5, known is not null as reused, round(known[1]::double, 5) as first_part
+from noted_chunks left join (select source_id, section_path, content, min(embedding::float[]) as known from kb_vectors group by all)
+  using (source_id, section_path, content)""",
     "a14_status": """select 'ok' as status, true as ready, (select count(*) from kb_documents) as documents, (select count(*) from kb_chunks) as sections,
   'hybrid' as retrieval_mode, true as generator_configured, true as embedder_configured""",
     "w1_lexical_topk": "select query_id, rank, source_id, chunk_order, score, coverage from lex_lexical_pool",

@@ -19,7 +19,7 @@ from lexifold.operators.models import embed_texts
 from lexifold.operators.reconcile import action_counts, duplicate_ids, embedding_pending, reconcile
 from lexifold.operators.validation import enough_evidence, validate_queries
 from lexifold.operators.versioning import current_versions
-from lexifold.options import DEFAULTS
+from lexifold.options import DEFAULTS, EmbeddingOptions
 from lexifold.plans import ask
 from lexifold.plans.catalog import document_detail, document_versions, list_documents, look_up, status
 from lexifold.plans.index import KnowledgeIndex, build_index, vectors_usable
@@ -666,6 +666,23 @@ def x1_embed(spark, sf_dir):
     )
 
 
+def one_part(texts):
+    """Stands in for an embedder whose vectors can be told from the given ones by their length."""
+    return [[1.0] for _ in texts]
+
+
+@query
+def x1_reused_vectors(spark, sf_dir):
+    """Every file has a note at its end that the stored document lacks: which chunks keep the vector of a stored chunk."""
+    store = views.kb_store(spark, sf_dir)
+    outcome = ingest(views.kb_files(spark, sf_dir, faulty=False), store, one_part, EmbeddingOptions(model=MODEL, batch_size=1024))
+    reused = F.size("embedding") > 1
+    return outcome.store.chunks.select(
+        "source_id", *_big("chunk_order"), F.md5("content").alias("content_md5"), reused.alias("reused"),
+        F.when(reused, F.round(F.get("embedding", F.lit(0)).cast("double"), 5)).alias("first_part"),
+    )
+
+
 # --- whole jobs ----------------------------------------------------------------------------------
 
 
