@@ -1,5 +1,6 @@
 """Building, searching and auditing a versioned document knowledge base with Spark DataFrames."""
 
+from lexifold.operators.replies import ReplyLedger
 from lexifold.options import DEFAULTS, EmbeddingOptions, RetrievalOptions
 from lexifold.plans.ask import answer_questions, build_context, validate_answers, version_report
 from lexifold.plans.catalog import document_detail, document_versions, list_documents, status
@@ -12,7 +13,7 @@ from lexifold.sources.markdown import folder_manifest, read_changed_markdown, re
 from lexifold.sources.store import Store, StoreChanges, StoreMoved, empty_store, read_store, write_changes, write_store
 
 __all__ = [
-    "DEFAULTS", "EmbeddingOptions", "IngestRejected", "KnowledgeIndex", "RetrievalOptions", "Store",
+    "DEFAULTS", "EmbeddingOptions", "IngestRejected", "KnowledgeIndex", "ReplyLedger", "RetrievalOptions", "Store",
     "StoreChanges", "StoreMoved",
     "answer_questions", "append_audit_log", "build_context", "build_index", "compact_audit_log", "document_detail",
     "document_versions", "empty_store", "folder_manifest", "ingest", "list_documents", "load_index", "merge_segments",

@@ -34,7 +34,7 @@ SYSTEM_INSTRUCTION = (
 RETRY_INSTRUCTION = "The previous reply was not JSON of the required shape. Reply with that JSON only."
 
 
-def _spread_calls(rows: DataFrame, parallel_calls: int | None, *keys: str) -> DataFrame:
+def spread_calls(rows: DataFrame, parallel_calls: int | None, *keys: str) -> DataFrame:
     """Rows dealt to as many tasks as calls may run at a time; a fixed number, so the planner does not merge them again."""
     return rows.repartition(parallel_calls or rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
@@ -74,7 +74,7 @@ def embed_texts(
                 part["raw_vector"], part["embed_error"] = pd.Series(vectors, part.index, object), pd.Series(errors, part.index, object)
                 yield part
 
-    embedded = _spread_calls(rows, parallel_calls).mapInPandas(run, schema)
+    embedded = spread_calls(rows, parallel_calls).mapInPandas(run, schema)
     return embedded.withColumn("vector", unit_length(F.col("raw_vector"))).drop("raw_vector")
 
 
@@ -101,15 +101,11 @@ GENERATED_SCHEMA = (
 )
 
 
-def generate_answers(
-    prompts: DataFrame, generate: GenerateFn, system: str = SYSTEM_INSTRUCTION, parallel_calls: int | None = None
-) -> DataFrame:
-    """``query_id, prompt`` -> ``query_id`` and the reply; ``failure`` is null, ``unavailable`` or ``invalid_output``.
+REPLY_COLUMNS = ["reply", "model", "attempts", "failure", "input_tokens", "output_tokens", "latency_ms"]
 
-    A reply of the wrong shape is asked for once more. Prompts are dealt to
-    ``parallel_calls`` tasks (by default one per core), each asking in turn.
-    """
-    id_type = prompts.schema["query_id"].dataType.simpleString()
+
+def asker(generate: GenerateFn, system: str) -> Callable[[str], tuple]:
+    """prompt -> the values of ``REPLY_COLUMNS``; a reply of the wrong shape is asked for once more."""
 
     def ask(prompt: str) -> tuple:
         import time
@@ -134,13 +130,27 @@ def generate_answers(
             ]
         return None, None, MAX_ATTEMPTS, "invalid_output", None, None, None
 
-    columns = ["reply", "model", "attempts", "failure", "input_tokens", "output_tokens", "latency_ms"]
+    return ask
+
+
+def generate_answers(
+    prompts: DataFrame, generate: GenerateFn, system: str = SYSTEM_INSTRUCTION, parallel_calls: int | None = None
+) -> DataFrame:
+    """``query_id, prompt`` -> ``query_id`` and the reply; ``failure`` is null, ``unavailable`` or ``invalid_output``.
+
+    A reply of the wrong shape is asked for once more. Prompts are dealt to
+    ``parallel_calls`` tasks (by default one per core), each asking in turn. A
+    task that is lost asks all its prompts again; ``lexifold.operators.replies``
+    keeps the replies.
+    """
+    id_type = prompts.schema["query_id"].dataType.simpleString()
+    ask = asker(generate, system)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            answered = pd.DataFrame([ask(p) for p in frame["prompt"]], columns=columns, dtype=object)
+            answered = pd.DataFrame([ask(p) for p in frame["prompt"]], columns=REPLY_COLUMNS, dtype=object)
             answered.insert(0, "query_id", frame["query_id"].to_numpy())
             yield answered
 
-    dealt = _spread_calls(prompts.select("query_id", "prompt"), parallel_calls, "query_id")
+    dealt = spread_calls(prompts.select("query_id", "prompt"), parallel_calls, "query_id")
     return dealt.mapInPandas(run, f"query_id {id_type}, {GENERATED_SCHEMA}")

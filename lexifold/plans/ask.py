@@ -13,6 +13,7 @@ from lexifold.functions.answers import clean_answer, parse_reply, prompt_text
 from lexifold.functions.text import unicode_trim
 from lexifold.operators.citations import checked_conflicts, valid_citations
 from lexifold.operators.models import EmbedFn, GenerateFn, generate_answers
+from lexifold.operators.replies import ReplyLedger, answers_with_ledger
 from lexifold.operators.validation import enough_evidence, refusal_reason, validate_questions
 from lexifold.operators.versioning import Resolution, resolve_versions
 from lexifold.options import DEFAULTS, EmbeddingOptions, RetrievalOptions
@@ -198,6 +199,7 @@ def answer_questions(
     strip_cited_quotes: bool = True,
     options: RetrievalOptions = DEFAULTS,
     parallel_calls: int | None = None,
+    ledger: ReplyLedger | None = None,
 ) -> DataFrame:
     """One row per question: status, answer or refusal, and the whole response as JSON.
 
@@ -209,7 +211,9 @@ def answer_questions(
     unusable. ``report_scope`` decides whether version resolution is reported
     for the cited families of an answer or for all retrieved ones; a refusal
     always reports all. ``latency_ms`` is the time of the batch's retrieval,
-    for which every question waits, and of the question's own model call.
+    for which every question waits, and of the question's own model call. With a
+    ``ledger``, replies are kept as they come and a prompt that has one is not
+    asked again.
     """
     checked = validate_questions(require_unique(questions), index is not None, options)
     if index is None:
@@ -219,7 +223,10 @@ def answer_questions(
     prepared = prepare(index, valid, embed, embedding)
     asked = build_context(index, prepared, as_of, options)
     retrieval_ms = int((time.monotonic() - started) * 1000)
-    generated = generate_answers(asked.prompts, generate, parallel_calls=parallel_calls)
+    if ledger is None:
+        generated = generate_answers(asked.prompts, generate, parallel_calls=parallel_calls)
+    else:
+        generated = answers_with_ledger(asked.prompts, generate, ledger, parallel_calls=parallel_calls)
     generated = materialize(generated.withColumn("latency_ms", F.col("latency_ms") + F.lit(retrieval_ms)), "generated")
     outcome = validate_answers(
         generated.where(F.col("failure").isNull()).select("query_id", "reply"), asked.context, strip_cited_quotes

@@ -496,6 +496,12 @@ from (select doc_id, contains(text, 'AKIA') as failed, cast(length(text) as doub
     "x1_reused_vectors": """select source_id, chunk_order, md5(content) as content_md5, known is not null as reused, round(known[1]::double, 5) as first_part
 from noted_chunks left join (select source_id, section_path, content, min(embedding::float[]) as known from kb_vectors group by all)
   using (source_id, section_path, content)""",
+    "x2_reply_ledger": """with turns as (select conv_id * 1000 + turn as query_id, role, coalesce(text, '') as said from conversations)
+select query_id, case when length(said) % 7 > 1 then md5(said) end as answer,
+  case length(said) % 7 when 0 then 'unavailable' when 1 then 'invalid_output' end as failure,
+  cast(case when length(said) % 7 = 1 then 2 else 1 end as bigint) as attempts,
+  length(said) % 7 > 1 and said in (select said from turns where role = 'user') as kept
+from turns""",
     "a14_status": """select 'ok' as status, true as ready, (select count(*) from kb_documents) as documents, (select count(*) from kb_chunks) as sections,
   'hybrid' as retrieval_mode, true as generator_configured, true as embedder_configured""",
     "w1_lexical_topk": "select query_id, rank, source_id, chunk_order, score, coverage from lex_lexical_pool",

@@ -16,6 +16,7 @@ from lexifold.operators import bm25
 from lexifold.operators.chunking import addressed_sections, heading_sections
 from lexifold.operators.dense import dense_scores, nearest_chunks
 from lexifold.operators.models import embed_texts
+from lexifold.operators.replies import ReplyLedger, answers_with_ledger
 from lexifold.operators.reconcile import action_counts, duplicate_ids, embedding_pending, reconcile
 from lexifold.operators.validation import enough_evidence, validate_queries
 from lexifold.operators.versioning import current_versions
@@ -683,6 +684,29 @@ def x1_reused_vectors(spark, sf_dir):
     )
 
 
+def digest_reply(messages: list[dict]) -> dict:
+    """A generator for the ledger: texts of some lengths meet an outage, or no JSON."""
+    import hashlib
+
+    text = messages[1]["content"]
+    if len(text) % 7 == 0:
+        raise OSError("outage")
+    digest = hashlib.md5(text.encode()).hexdigest()
+    return {"text": "no json" if len(text) % 7 == 1 else f'{{"answer": "{digest}"}}', "model": MODEL}
+
+
+@query
+def x2_reply_ledger(spark, sf_dir):
+    """The turns of users are asked, then all turns: whose reply is kept from the first run."""
+    turns = views.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("prompt"), "role"
+    )
+    ledger = ReplyLedger(new_folder(spark, "replies"), MODEL, calls_per_commit=4096)
+    answers_with_ledger(turns.where("role = 'user'"), digest_reply, ledger)
+    answers = answers_with_ledger(turns, digest_reply, ledger)
+    return answers.select("query_id", F.get_json_object("reply", "$.answer").alias("answer"), "failure", *_big("attempts"), "kept")
+
+
 # --- whole jobs ----------------------------------------------------------------------------------
 
 
