@@ -22,16 +22,17 @@ from lexifold.options import DEFAULTS, RetrievalOptions
 DENSE_DIGITS = 6
 # Keeps the score matrix of a batch small, however many queries there are.
 QUERIES_AT_ONCE = 512
-_RESULT = "query_id {id_type}, doc_no bigint, chunk_order int, dense_score double"
+RESULT = "query_id {id_type}, doc_no bigint, chunk_order int, dense_score double"
 
 
-def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+def matrix(vectors: pa.Array, size: int) -> np.ndarray:
     """Vectors of the given size as float64 rows; a vector of another size gives a row of zeros."""
-    matrix = np.zeros((len(vectors), size))
+    rows = np.zeros((len(vectors), size))
     fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), size), False)
     values = pc.list_flatten(vectors.filter(fits)).to_numpy(zero_copy_only=False)
-    matrix[np.flatnonzero(fits.to_numpy(zero_copy_only=False))] = values.reshape(-1, size)
-    return matrix
+    places = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    rows[places] = values.reshape(len(places), size)
+    return rows
 
 
 def _cosines(queries: np.ndarray, chunks: np.ndarray) -> np.ndarray:
@@ -59,7 +60,7 @@ def _best(scores: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def _local_best(chunks: pa.Table, queries: pa.Table, pool: int) -> pa.Table:
+def local_best(chunks: pa.Table, queries: pa.Table, pool: int) -> pa.Table:
     """Best chunks of one block of chunks for one block of queries."""
     chunks = chunks.sort_by([("doc_no", "ascending"), ("chunk_order", "ascending")]).combine_chunks()
     sizes = pc.list_value_length(queries["vector"].combine_chunks())
@@ -67,10 +68,10 @@ def _local_best(chunks: pa.Table, queries: pa.Table, pool: int) -> pa.Table:
     for size in pc.unique(sizes).to_pylist():
         same_size = queries.filter(pc.equal(sizes, size))
         # A chunk vector of another length is a row of zeros, whose similarity is 0.
-        matrix = _matrix(chunks["embedding"].combine_chunks(), size)
+        rows_of_size = matrix(chunks["embedding"].combine_chunks(), size)
         for start in range(0, same_size.num_rows, QUERIES_AT_ONCE):
             asked = same_size.slice(start, QUERIES_AT_ONCE).combine_chunks()
-            scores = _cosines(_matrix(asked["vector"].combine_chunks(), size), matrix)
+            scores = _cosines(matrix(asked["vector"].combine_chunks(), size), rows_of_size)
             rows, columns = _best(scores, pool)
             parts.append(
                 pa.table(
@@ -88,12 +89,12 @@ def _local_best(chunks: pa.Table, queries: pa.Table, pool: int) -> pa.Table:
 def _with_broadcast_queries(vectors: DataFrame, queries: DataFrame, pool: int, schema: str) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(queries.select("query_id", "vector").toArrow())
 
-    def local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and shared.value.num_rows:
-                yield from _local_best(pa.Table.from_batches([batch]), shared.value, pool).combine_chunks().to_batches()
+                yield from local_best(pa.Table.from_batches([batch]), shared.value, pool).combine_chunks().to_batches()
 
-    return vectors.mapInArrow(local_best, schema)
+    return vectors.mapInArrow(best_of_batches, schema)
 
 
 def nearest_chunks(
@@ -102,16 +103,21 @@ def nearest_chunks(
     """``doc_no, chunk_order, embedding`` x ``query_id, vector`` -> the best ``pool`` chunks of every query, ranked."""
     queries = queries.where(F.col("vector").isNotNull())
     vectors = vectors.select("doc_no", "chunk_order", "embedding")
-    schema = _RESULT.format(id_type=queries.schema["query_id"].dataType.simpleString())
+    schema = RESULT.format(id_type=queries.schema["query_id"].dataType.simpleString())
     values = queries.agg(F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0))).first()[0]
     # Too many queries to send at once go in blocks; each meets the vectors where they lie, so vectors are never shuffled.
     blocks = max(1, -(-values // options.max_broadcast_values))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     parts = [_with_broadcast_queries(vectors, queries.where(block == n), pool, schema) for n in range(blocks)]
     local = reduce(DataFrame.unionByName, parts)
+    return best_of_all(local, pool)
+
+
+def best_of_all(found: DataFrame, pool: int) -> DataFrame:
+    """The best ``pool`` of what the tasks passed on, ranked; document numbers settle ties."""
     window = Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "doc_no", "chunk_order")
     return (
-        local.withColumn("rank", F.row_number().over(window))
+        found.withColumn("rank", F.row_number().over(window))
         .where(F.col("rank") <= pool)
         .select("query_id", "rank", "doc_no", "chunk_order", "dense_score")
     )

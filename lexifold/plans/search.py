@@ -17,6 +17,7 @@ from lexifold.operators.bm25 import (
     score_candidates,
     weigh_query_terms,
 )
+from lexifold.operators.cells import VectorCells, nearest_in_cells
 from lexifold.operators.dense import dense_scores, nearest_chunks
 from lexifold.operators.fusion import DENSE_LIST, LEXICAL_LIST, fuse
 from lexifold.operators.models import EmbedFn, embed_texts
@@ -113,12 +114,15 @@ def search(
     top_k: int | None = None,
     where: Column | None = None,
     options: RetrievalOptions = DEFAULTS,
+    cells: VectorCells | None = None,
 ) -> SearchResult:
     """BM25 pool and vector pool per query, fused by reciprocal rank.
 
     ``top_k``: one limit for all, or None for the queries' own ``top_k`` column
     (the default where absent). ``where``: predicate on chunk columns; it
-    restricts the chunks scored but not the corpus statistics.
+    restricts the chunks scored but not the corpus statistics. ``cells``: the
+    index's vectors by cell (``build_cells(index.vectors)``), of which only those
+    that matter are read; with ``where``, all allowed vectors are compared.
     """
     postings, vectors = index.postings, index.vectors
     if where is not None:
@@ -134,7 +138,13 @@ def search(
     lists = lexical.select("query_id", F.lit(LEXICAL_LIST).alias("list_no"), "rank", *CHUNK)
     dense = None
     if prepared.with_vectors:
-        dense = materialize(nearest_chunks(vectors, prepared.queries, options.candidate_pool, options), "dense-pool")
+        if cells is None or where is not None:
+            nearest = nearest_chunks(vectors, prepared.queries, options.candidate_pool, options)
+        elif cells.n.sum() != index.n_chunks:
+            raise ValueError(f"cells of {cells.n.sum()} vectors for an index of {index.n_chunks}: build them anew")
+        else:
+            nearest = nearest_in_cells(cells, prepared.queries, options.candidate_pool, options).ranked
+        dense = materialize(nearest, "dense-pool")
         lists = lists.unionByName(dense.select("query_id", F.lit(DENSE_LIST).alias("list_no"), "rank", *CHUNK))
 
     fused = fuse(lists, CHUNK, options.rrf_k)

@@ -506,6 +506,7 @@ from turns""",
   'hybrid' as retrieval_mode, true as generator_configured, true as embedder_configured""",
     "w1_lexical_topk": "select query_id, rank, source_id, chunk_order, score, coverage from lex_lexical_pool",
     "w2_dense_topk": "select query_id, rank, source_id, chunk_order, dense_score from hyb_dense_pool",
+    "w2_dense_cells": "select query_id, rank, source_id, chunk_order, dense_score from hyb_dense_pool",
     "w3_fused_topk": "select query_id, rank, source_id, chunk_order from hyb_hits",
     "w4_current_version": "select document_key, n_versions, current_id as source_id, current_version as version from families",
     "w6_context_labels": "select query_id, label, source_id, chunk_order from context",

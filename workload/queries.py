@@ -13,6 +13,7 @@ from lexifold.functions.text import embedding_text, normalize, tokens
 from lexifold.functions.vectors import cosine_similarity, stable, unit_length
 from lexifold.functions.versions import version_key
 from lexifold.operators import bm25
+from lexifold.operators.cells import build_cells, nearest_in_cells
 from lexifold.operators.chunking import addressed_sections, heading_sections
 from lexifold.operators.dense import dense_scores, nearest_chunks
 from lexifold.operators.models import embed_texts
@@ -622,6 +623,14 @@ def w2_dense_topk(spark, sf_dir):
     return bench.with_source(ranked).select("query_id", *_big("rank"), "source_id", *_big("chunk_order"), "dense_score")
 
 
+@query
+def w2_dense_cells(spark, sf_dir):
+    """As ``w2_dense_topk``, from the vectors by cell: cells that cannot hold one of a query's best are not scored."""
+    bench = workbench(spark, sf_dir)
+    found = nearest_in_cells(build_cells(bench.index.vectors), bench.hybrid_queries.queries, DEFAULTS.candidate_pool)
+    return bench.with_source(found.ranked).select("query_id", *_big("rank"), "source_id", *_big("chunk_order"), "dense_score")
+
+
 @query
 def w3_fused_topk(spark, sf_dir):
     bench = workbench(spark, sf_dir)
