@@ -44,13 +44,14 @@ def test_bm25_scores_and_coverage(spark, most):
 
 
 def test_rank_fusion(spark):
-    lists = spark.createDataFrame(
-        [(0, 0, 1, 1), (0, 0, 2, 2), (0, 0, 3, 3), (0, 1, 1, 3), (0, 1, 2, 1), (1, 0, 1, 7), (1, 0, 2, 8), (1, 1, 1, 8), (1, 1, 2, 7)],
-        "query_id int, list_no int, rank int, item int",
-    )
-    rows = fuse(lists, ("item",), 60).orderBy("query_id", "rank").collect()
-    assert [r.item for r in rows if r.query_id == 0] == [1, 3, 2]
-    assert [r.fused_score for r in rows if r.query_id == 0] == pytest.approx([1 / 61 + 1 / 62, 1 / 63 + 1 / 61, 1 / 62], abs=1e-12)
+    words, near = [40, 41, 42, 43, 44], [43, 45, 41, 40]
+    ranks = [(0, list_no, rank, item) for list_no, items in enumerate((words, near)) for rank, item in enumerate(items, start=1)]
+    lists = spark.createDataFrame(ranks + [(1, 0, 1, 7), (1, 0, 2, 8), (1, 1, 1, 8), (1, 1, 2, 7)], "query_id int, list_no int, rank int, item int")
+    rows = fuse(lists, ("item",), 10).orderBy("query_id", "rank").collect()
+    score = {i: sum(1 / (11 + items.index(i)) for items in (words, near) if i in items) for i in {*words, *near}}
+    fused = [(r.item, r.fused_score) for r in rows if r.query_id == 0]
+    assert [i for i, _ in fused] == sorted(score, key=score.get, reverse=True)
+    assert [f for _, f in fused] == pytest.approx(sorted(score.values(), reverse=True), rel=1e-9)
     # Equal scores: first seen wins.
     assert [r.item for r in rows if r.query_id == 1] == [7, 8]
 
