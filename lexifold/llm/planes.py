@@ -12,7 +12,8 @@ planes; each plane is compressed with zstandard on its own. The folder then hold
 Files are written and committed by Spark, so a lost executor repeats only its own ranges.
 
 Defined results: null text counts as empty (a document of the end id alone); rows of a null ``doc_id`` come first;
-ties of ``doc_id`` are ordered by a hash of the text and keep every row; an empty table gives empty files; other
+ties of ``doc_id`` are ordered by a hash of the text and keep every row, and
+rows equal in both are split over ranges like others; an empty table gives empty files; other
 columns are ignored. A document may span any number of blocks.
 """
 
@@ -191,8 +192,10 @@ def write_ids(documents: DataFrame, path: str, tokenizer_path: str, end_id: int,
     """Tokenise ``documents`` (doc_id, text) and write them to the folder ``path`` in ascending order of ``doc_id``."""
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-    ranged = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    blocks = ranged.drop("tie").mapInArrow(_block_writer(tokenizer_path, end_id, form), BLOCKS)
+    # Rows equal in both may stand in any order; the third key lets them be split over ranges.
+    keyed = texts.withColumn("tie", F.xxhash64("text")).withColumn("any", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = keyed.repartitionByRange("doc_id", "tie", "any").sortWithinPartitions("doc_id", "tie")
+    blocks = ranged.drop("tie", "any").mapInArrow(_block_writer(tokenizer_path, end_id, form), BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     sizes = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").drop("payload", "slices")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -68,3 +68,18 @@ def test_query_on_whole_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     assert sorted(tuple(r) for r in op2_bit_planes(spark, sf).collect()) == [w[:4] for w in expected(rows)]
+
+
+def test_repeats_of_one_row_are_split(spark, tmp_path):
+    docs = spark.range(4000, numPartitions=4).selectExpr("cast(null as long) as doc_id", "'again and again' as text")
+    path = str(tmp_path / "ids")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows become one task again
+    try:
+        planes.write_ids(docs, path, FILE, 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = expected([(None, "again and again")] * 4000)
+    assert sorted(r["start"] for r in planes.read_checksums(spark, path).collect()) == [w[1] for w in want]
+    shards = spark.read.parquet(f"{path}/blocks").selectExpr("shard", "size(slices) as n").groupBy("shard").sum("n").collect()
+    sizes = [r["sum(n)"] for r in shards]
+    assert len(sizes) == 4 and max(sizes) < 2000
