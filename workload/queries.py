@@ -453,7 +453,7 @@ def j2_query_idf(spark, sf_dir):
 
 
 def _reconciled(spark, sf_dir) -> DataFrame:
-    catalog = parse_markdown(views.kb_files(spark, sf_dir, faulty=False)).drop("body")
+    catalog = materialize(parse_markdown(views.kb_files(spark, sf_dir, faulty=False)).drop("body"), "catalog")
     stored = views.kb_stored_before(spark, sf_dir, catalog.select("source_id", "content_hash"))
     return reconcile(catalog, stored.documents)
 
