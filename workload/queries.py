@@ -626,9 +626,12 @@ def w2_dense_topk(spark, sf_dir):
 @query
 def w2_dense_cells(spark, sf_dir):
     """As ``w2_dense_topk``, from the vectors by cell: cells that cannot hold one of a query's best are not scored."""
-    bench = workbench(spark, sf_dir)
-    found = nearest_in_cells(build_cells(bench.index.vectors), bench.hybrid_queries.queries, DEFAULTS.candidate_pool)
-    return bench.with_source(found.ranked).select("query_id", *_big("rank"), "source_id", *_big("chunk_order"), "dense_score")
+    chunks = views.kb_chunks_with_vectors(spark, sf_dir)
+    number = F.expr("cast(substring(source_id, 5) as bigint)")  # ids are padded numbers, so in the order of file names
+    vectors = materialize(chunks.select(number.alias("doc_no"), "chunk_order", "embedding"), "vectors")
+    found = nearest_in_cells(build_cells(vectors), views.kb_queries(spark, sf_dir), DEFAULTS.candidate_pool)
+    source_id = F.concat(F.lit("doc-"), F.lpad(F.col("doc_no").cast("string"), 19, "0")).alias("source_id")
+    return found.ranked.select("query_id", *_big("rank"), source_id, *_big("chunk_order"), "dense_score")
 
 
 @query
