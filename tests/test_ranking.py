@@ -10,6 +10,7 @@ from lexifold.functions.vectors import cosine_similarity, unit_length
 from lexifold.operators.bm25 import best_matches, match_bounds, score_matches, term_frequencies, weigh_query_terms
 from lexifold.operators.dense import dense_scores, nearest_chunks
 from lexifold.operators.fusion import fuse
+from lexifold.plans.index import bucket_count
 from lexifold.plans.search import of_terms, search_requests, search_within_documents, within
 
 MODEL = "test-model"
@@ -285,3 +286,9 @@ def test_vectors_that_are_not_finite_are_near_to_nothing(spark):
     assert [(r.doc_no, r.dense_score) for r in got] == [(3, 1.0), (4, 0.8), (0, 0.0)]
     pairs = spark.createDataFrame([(0, i) for i in range(5)], "query_id bigint, doc_no bigint")
     assert {r.doc_no: r.dense_score for r in dense_scores(vectors, asked, pairs).collect()} == {0: 0.0, 1: 0.0, 2: 0.0, 3: 1.0, 4: 0.8}
+
+
+def test_a_bucket_stays_small_however_many_documents():
+    """What a task sorts and adds up is a bucket, and has to fit in memory."""
+    assert bucket_count(100, 8) == 8
+    assert 3_000_000 / bucket_count(3_000_000, 12) <= 2_048
