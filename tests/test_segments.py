@@ -128,3 +128,12 @@ def test_vectors_of_another_model(spark):
     assert segments.update_index(index, mixed, ids(spark, "nobody"), model="m2").n_usable == 0
     right = segments.update_index(later, with_model("m1", 5), ids(spark, "d4"), model="m1")
     assert (right.mode, right.n_usable) == ("hybrid", 5)
+
+
+def test_no_frame_is_gone_through_anew_for_each_row(spark):
+    now = [document(f"d{i}", i) for i in range(5)]
+    index = build_index(store(spark, *now), buckets=2)
+    numbered = segments.number_between(index.versions.select("file_name", "doc_no"), store(spark, document("d2x", 9)).documents)
+    assert "unboundedfollowing" not in numbered._jdf.queryExecution().analyzed().toString().lower()
+    taken = {r.source_id: r.doc_no for r in index.versions.collect()}
+    assert [taken["d2"] < r.doc_no < taken["d3"] for r in numbered.collect()] == [True]
