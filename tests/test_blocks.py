@@ -4,7 +4,7 @@ import random
 
 import pytest
 from helpers import queries, store
-from lexifold.operators.bm25 import best_matches, match_bounds, pool_by_blocks, score_matches
+from lexifold.operators.bm25 import best_matches, match_bounds, pool_by_blocks, pool_by_matrices, score_matches
 from lexifold.options import RetrievalOptions
 from lexifold.plans.index import build_index
 from lexifold.plans.search import prepare, search
@@ -88,3 +88,26 @@ def test_matches_are_not_shuffled(spark, index):
     prepared = prepare(index, queries(spark, f"{topic(3, 1)} {shared(4)}"))
     scored = score_matches(index.postings, prepared.terms, index.average_length, n_terms=prepared.n_terms)
     assert "Exchange hashpartitioning" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_many_queries_are_scored_by_matrices(spark, index, most, monkeypatch):
+    for name, value in (("CHUNKS_AT_ONCE", 64), ("QUERIES_AT_ONCE", 5), ("PRODUCTS_AT_ONCE", 50)):
+        monkeypatch.setattr(f"lexifold.operators.bm25.{name}", value)
+    texts = [f"{shared(i)} {shared(i + 1)} {topic(i, i % 30)} {topic(i, 3)} {topic(1, 2)}" for i in range(12)]
+    prepared = prepare(index, queries(spark, *texts, topic(5, 5), "yok", "", shared(3)))
+    options = RetrievalOptions(max_broadcast_rows=most)
+    found = pool_by_matrices(index.postings, prepared.terms, index.average_length, n_terms=prepared.n_terms, pool=7, options=options)
+    assert of(found) == by_full_scoring(index, prepared, index.postings, 7, options)
+    assert "Exchange hashpartitioning" not in plan_of_chunks(index, prepared)
+    many = search(index, prepared, options=RetrievalOptions(max_bounded_terms=1))
+    few = search(index, prepared)
+    assert many.lexical.n_blocks is None and few.lexical.n_blocks > 0
+    rows = lambda r: ({tuple(x) for x in r.hits.collect()}, {tuple(x) for x in r.stats.collect()})
+    assert rows(many) == rows(few)
+
+
+def plan_of_chunks(index, prepared):
+    met = index.postings.join(F.broadcast(prepared.terms.select("term").distinct()), "term").groupBy("doc_no", "chunk_order", "dl")
+    plan = met.agg(F.collect_list("tf"))._jdf.queryExecution().executedPlan().toString()
+    return "\n".join(line for line in plan.split("\n") if "doc_no" in line)
