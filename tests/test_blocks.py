@@ -4,7 +4,7 @@ import random
 
 import pytest
 from helpers import queries, store
-from lexifold.operators.bm25 import best_matches, match_bounds, pool_by_blocks, pool_by_matrices, score_matches
+from lexifold.operators.bm25 import best_matches, block_maxima, match_bounds, pool_by_blocks, pool_by_matrices, score_matches
 from lexifold.options import RetrievalOptions
 from lexifold.plans.index import build_index
 from lexifold.plans.search import prepare, search
@@ -111,3 +111,8 @@ def plan_of_chunks(index, prepared):
     met = index.postings.join(F.broadcast(prepared.terms.select("term").distinct()), "term").groupBy("doc_no", "chunk_order", "dl")
     plan = met.agg(F.collect_list("tf"))._jdf.queryExecution().executedPlan().toString()
     return "\n".join(line for line in plan.split("\n") if "doc_no" in line)
+
+
+def test_maxima_are_taken_bucket_by_bucket(index):
+    plan = block_maxima(index.postings)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
