@@ -85,3 +85,14 @@ def test_logins_of_any_length():
     for user, password in (("oauth2", "t" * 93), ("u" * 70, "pass"), ("u" * 5000, "p" * 50_000)):
         login = f"https://{user}:{password}@"
         assert ("url_login", 6, 6 + len(login)) in scan.find_spans(f"clone {login}host/x")
+
+
+def test_only_texts_that_may_have_a_finding_are_joined(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(i, f"text {i}" + f" {AWS}" * (i % 10 == 0), 3) for i in range(200)], "doc_id long, text string, n_chars long")
+    scan.scan(scan.versions(docs), folder)
+    redacted = scan.redact_all(docs, folder)
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in redacted.collect()} == {
+        (i, f"text {i} [SECRET]", len(f"text {i} [SECRET]")) if i % 10 == 0 else (i, f"text {i}", 3) for i in range(200)
+    }
+    assert "among" in redacted._jdf.queryExecution().optimizedPlan().toString()
