@@ -1,9 +1,13 @@
 """Search by block maxima: the pool of a full scoring, from few blocks."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import queries, store
+from lexifold.operators import bm25
 from lexifold.operators.bm25 import best_matches, block_maxima, match_bounds, pool_by_blocks, pool_by_matrices, score_matches
 from lexifold.options import RetrievalOptions
 from lexifold.plans.index import build_index
@@ -116,3 +120,44 @@ def plan_of_chunks(index, prepared):
 def test_maxima_are_taken_bucket_by_bucket(index):
     plan = block_maxima(index.postings)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("pool, copies", [(20, 1), (20, 7), (7, 400)])
+def test_matrices_score_few_pairs_exactly_and_keep_the_best(monkeypatch, pool, copies):
+    """Estimates in single precision choose; scores, coverage and ties are as by plain sums."""
+    rng = np.random.default_rng(4)
+    n_terms, n_queries = 900, 60
+    weight = np.log1p(np.arange(1, n_terms + 1) / 9.0)  # frequent terms first
+    likely = 1 / np.arange(1, n_terms + 1)
+    asked = [np.sort(rng.choice(n_terms, rng.integers(1, 30), replace=False, p=likely / likely.sum())) for _ in range(n_queries)]
+    chunks = [np.unique(rng.choice(n_terms, rng.integers(5, 90), p=likely / likely.sum())) for _ in range(4_000 // copies)] * copies
+    tfs = [rng.integers(1, 4, len(c)) for c in chunks[: len(chunks) // copies]] * copies
+    totals = [float(weight[q].sum()) for q in asked]
+    rows = pa.table({
+        "query_id": pa.array(np.repeat(np.arange(n_queries), [len(q) for q in asked])), "term": pa.array([f"t{t}" for q in asked for t in q]),
+        "idf": pa.array(np.concatenate([weight[q] for q in asked])), "total_idf": pa.array(np.repeat(totals, [len(q) for q in asked])),
+    })
+    block = bm25._asked(rows)
+    number = {t: i for i, t in enumerate(block["terms"].to_pylist())}
+    met = [[(number[f"t{t}"], int(f)) for t, f in zip(c, tf, strict=True) if f"t{t}" in number] for c, tf in zip(chunks, tfs, strict=True)]
+    met = pa.RecordBatch.from_pydict({
+        "doc_no": pa.array(range(len(chunks)), pa.int64()), "chunk_order": pa.array([0] * len(chunks), pa.int32()), "dl": pa.array([int(tf.sum()) for tf in tfs], pa.int32()),
+        "numbers": pa.array([[n for n, _ in m] for m in met], pa.list_(pa.int32())), "tfs": pa.array([[f for _, f in m] for m in met], pa.list_(pa.int64())),
+    })
+    exact, scored = bm25._Matches.exact, []
+    monkeypatch.setattr(bm25._Matches, "exact", lambda self, query, chunk: scored.append(len(query)) or exact(self, query, chunk))
+    average, options = 40.0, RetrievalOptions()
+    out = pa.Table.from_batches(list(bm25._pool_of_task(SimpleNamespace(value=block), average, pool, options)(iter([met.slice(0, 1500), met.slice(1500)])))).to_pylist()
+
+    for i, q in enumerate(asked):
+        found = []
+        for d, (c, tf) in enumerate(zip(chunks, tfs, strict=True)):
+            _, at, _ = np.intersect1d(c, q, assume_unique=True, return_indices=True)
+            if len(at):
+                w = weight[c[at]] * tf[at] * 2.2 / (tf[at] + 1.2 * (0.25 + 0.75 * tf.sum() / average))
+                found.append((-round(float(w.sum()), 8), d, round(float(weight[c[at]].sum()) / totals[i], 8)))
+        mine = [(-r["score"], r["doc_no"], r["coverage"]) for r in out if r["query_id"] == i and r["doc_no"] is not None]
+        assert sorted(mine) == [pytest.approx(f, abs=2e-8) for f in sorted(found)[:pool]]
+        assert [r["coverage"] for r in out if r["query_id"] == i and r["doc_no"] is None] == [pytest.approx(max(f[2] for f in found), abs=2e-8) for _ in found[:1]]
+    if copies == 1:
+        assert sum(scored) < n_queries * len(chunks) / 10
