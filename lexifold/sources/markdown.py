@@ -25,6 +25,9 @@ FIELDS = {
 STATUSES = ("active", "superseded")
 CATEGORIES = ("politika", "prosedur", "kilavuz", "sss")
 
+# Files of a folder that a task hands on at a time.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1_024, 1 << 24
+
 _OPENING, _CLOSING = "---\n", "\n---\n"
 # Anything that starts in the first column must be "key:", a comment or a list item of an ignored key.
 _UNREADABLE_LINE = r"(?m)^(?![A-Za-z0-9_.-]+[ \t]*:([ \t]|$))[^\s#\-\]}]"
@@ -37,9 +40,60 @@ _GOES_ON = rf"(?m)^(?:{_KEYS})[ \t]*:[^\n]*\n+[ \t]+[^\s#]"
 def read_markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
     """``file_name, text`` of every ``*.md`` directly in the folder, one whole file per row.
 
-    Spark's readers pass over files without a byte, so those are not seen, here and in the manifest.
+    Spark's readers pass over files without a byte, so those are not seen, here and in the manifest. They also keep what
+    they know of every file in the driver, so a folder of a mounted file system, which all tasks reach, is listed by the tasks:
+    each goes through the names and reads the files whose names fall to it.
     """
-    return _texts(spark.read.text(folder, wholetext=True, pathGlobFilter="*.md"))
+    mounted = _mounted_folder(spark, folder)
+    if mounted is None:
+        return _texts(spark.read.text(folder, wholetext=True, pathGlobFilter="*.md"))
+    parts = 2 * spark.sparkContext.defaultParallelism
+    found = spark.range(0, parts, 1, parts).mapInArrow(_files_of_part(mounted, parts), "file_name string, value binary")
+    return found.select("file_name", F.col("value").cast("string").alias("text"))
+
+
+def _mounted_folder(spark: SparkSession, folder: str) -> str | None:
+    """The path of a folder with the scheme ``file``, else null."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() != "file" or not system.exists(path) or not system.getFileStatus(path).isDirectory():
+        return None
+    return system.makeQualified(path).toUri().getPath()
+
+
+def _files_of_part(folder: str, parts: int):
+    """Names and bytes of the files that fall to a part; hidden ones (as Spark has it) and those without a byte are none."""
+
+    def run(batches: Iterator) -> Iterator:
+        import os
+        from zlib import crc32
+
+        import pyarrow as pa
+
+        def batch_of(rows: list) -> pa.RecordBatch:
+            names, values = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.binary())], ["file_name", "value"])
+
+        for part in (i for batch in batches for i in batch.column(0).to_pylist()):
+            rows, n_bytes = [], 0
+            with os.scandir(folder) as entries:
+                for entry in entries:
+                    name = entry.name
+                    hidden = name[0] == "." or (name[0] == "_" and "=" not in name)
+                    if not name.endswith(".md") or hidden or crc32(os.fsencode(name)) % parts != part or not entry.is_file():
+                        continue
+                    with open(entry.path, "rb") as stream:
+                        value = stream.read()
+                    if value:
+                        rows.append((name, value))
+                        n_bytes += len(value)
+                    if len(rows) >= ROWS_AT_ONCE or n_bytes >= BYTES_AT_ONCE:
+                        yield batch_of(rows)
+                        rows, n_bytes = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    return run
 
 
 def _texts(files: DataFrame) -> DataFrame:

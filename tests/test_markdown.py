@@ -2,8 +2,10 @@ import datetime
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from helpers import files, markdown
+from lexifold.sources import markdown as markdown_source
 from lexifold.sources.markdown import parse_markdown, read_markdown_folder
 
 VALID = markdown("iade-v2", "# İade\n\n## 2. Süre\n\n30 gün.\n", key="iade", title="İade Politikası", version="2.0", date="2025-06-01", supersedes="iade-v1")
@@ -64,6 +66,23 @@ def test_folder_scan(spark, tmp_path):
     assert [(r.file_name, r.source_id, r.error) for r in rows] == [("a.md", "a", None), ("b.md", "b", None)]
 
 
+def test_a_folder_is_listed_by_tasks_and_not_in_the_driver(spark, tmp_path):
+    """What Spark's reader finds, with bytes that are no UTF-8, odd names, hidden and empty files; no list of files in the plan."""
+    for name in ("a.md", "b c+d%20.md", "ö=1.md", "_x.md", "_k=v.md", ".h.md", "A.MD", "n.md.txt"):
+        (tmp_path / name).write_bytes(b"\xef\xbb\xbf" + name.encode() + b"\r\n\xff\x80 \n")
+    (tmp_path / "leer.md").write_bytes(b"")
+    (tmp_path / "ordner.md").mkdir()
+    for i in range(40):
+        (tmp_path / f"n{i}.md").write_text(f"{i} " * (i + 1))
+    columns = "file_name", F.hex(F.col("text").cast("binary")).alias("octets")
+    by_reader = markdown_source._texts(spark.read.text(str(tmp_path), wholetext=True, pathGlobFilter="*.md")).select(*columns)
+    for folder in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        found = read_markdown_folder(spark, folder)
+        rows = [tuple(r) for r in found.select(*columns).collect()]
+        assert sorted(rows) == sorted(map(tuple, by_reader.collect())) and len(rows) == 44
+        assert found.inputFiles() == [] and "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_missing_folder_is_named(spark, tmp_path):
     with pytest.raises(AnalysisException, match="yok"):
         read_markdown_folder(spark, str(tmp_path / "yok"))
