@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexifold.functions.text import embedding_text
@@ -15,7 +15,7 @@ from lexifold.operators.reconcile import action_counts, duplicate_ids, embedding
 from lexifold.options import MAX_CHUNK_CHARS, EmbeddingOptions
 from lexifold.plans.index import vectors_usable
 from lexifold.sources.markdown import parse_markdown
-from lexifold.sources.scratch import materialize
+from lexifold.sources.scratch import materialize, new_folder, remove_folder, write_table
 from lexifold.sources.store import CHUNK_SCHEMA, DOCUMENT_SCHEMA, Store, StoreChanges
 
 EMBEDDING_UNAVAILABLE = "embedding_unavailable"
@@ -95,9 +95,9 @@ def ingest(
         F.col("stored_id").alias("source_id"), "title", "body"
     )
     columns = CHUNK_SCHEMA.replace(",", "").split()[0::2]
-    fresh = chunk_documents(bodies, max_chars).select(
+    fresh = chunk_documents(bodies, max_chars, ("title",)).select(
         "source_id", "chunk_order", "section_path", "content",
-        F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"),
+        F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"), "title",
     )
     differing = plan.where(F.col("action") != "unchanged").select("source_id")
     kept = store.chunks.select(*columns).join(differing, "source_id", "left_anti")
@@ -111,43 +111,57 @@ def ingest(
         differing = materialize(differing.unionByName(stale), "differing")
         updated = plan.where(F.col("action") == "updated").select("source_id")
         former = Store(*(rows.join(updated, "source_id", "left_semi") for rows in (store.documents, store.chunks)))
-        fresh = materialize(reuse_vectors(fresh, documents, former, embedding), "fresh")
+        folder = new_folder(store.documents.sparkSession, "known-vectors")
+        known = write_table(known_vectors(former, embedding), folder)
+        fresh = materialize(reuse_vectors(fresh, known, embedding), "fresh")
+        remove_folder(store.documents.sparkSession, folder)
         reused = fresh.where("embedding is not null").count()
-        work = fresh.unionByName(kept.join(stale, "source_id", "left_semi"))
+        work = fresh.unionByName(materialize(kept.join(stale, "source_id", "left_semi"), "stale-chunks"))
         kept = kept.join(stale, "source_id", "left_anti")
         work, embedded, warning = embed_missing(work, documents, embed, embedding)
         embedded += 0 if warning else reused
     else:
         differing = materialize(differing, "differing")
-        work = materialize(fresh, "chunks")
+        work = materialize(fresh.select(*columns), "chunks")
     chunks = kept.unionByName(work)
     summary = ingest_summary(plan, chunks, embedded, model, warning)
     changes = StoreChanges(store.version, documents.join(differing, "source_id", "left_semi"), work, differing)
     return IngestOutcome(Store(documents, chunks), plan, summary, changes, reused)
 
 
-def reuse_vectors(fresh: DataFrame, documents: DataFrame, former: Store, embedding: EmbeddingOptions) -> DataFrame:
-    """``fresh`` chunks, with the vector of this model that a ``former`` chunk of the document has for the same embedding text.
+def _text_hash(embedding: EmbeddingOptions) -> Column:
+    return F.sha2(embedding_text(F.col("title"), F.col("section_path"), F.col("content"), embedding.document_prefix), 256).alias("text_hash")
 
-    Of repeated texts with different vectors the least counts. A document's chunks spread over the hashes of their
-    texts, so a huge document is no single task, and its former texts are combined before they are shuffled.
-    """
-    columns = CHUNK_SCHEMA.replace(",", "").split()[0::2]
-    text = embedding_text(F.col("title"), F.col("section_path"), F.col("content"), embedding.document_prefix)
 
-    def hashed(chunks: DataFrame, titles: DataFrame) -> DataFrame:
-        return chunks.select(*columns).join(titles.select("source_id", "title"), "source_id").withColumn("text_hash", F.sha2(text, 256))
+def known_vectors(former: Store, embedding: EmbeddingOptions) -> DataFrame:
+    """``source_id, text_hash, known``: the vectors of this model that ``former`` chunks have, by hash of their embedding texts.
 
+    Of repeated texts with different vectors the least counts. Written apart, so that the former texts, and what was shuffled
+    of them, are gone when the new ones are shuffled.
+    """
     usable = former.chunks.where(~embedding_pending(embedding.model))
-    known = hashed(usable, former.documents).groupBy("source_id", "text_hash").agg(F.min("embedding").alias("known"))
-    met = hashed(fresh, documents).join(known, ["source_id", "text_hash"], "left").withColumn("embedding", F.col("known"))
+    titled = usable.join(former.documents.select("source_id", "title"), "source_id")
+    return titled.select("source_id", _text_hash(embedding), "embedding").groupBy("source_id", "text_hash").agg(F.min("embedding").alias("known"))
+
+
+def reuse_vectors(fresh: DataFrame, known: DataFrame, embedding: EmbeddingOptions) -> DataFrame:
+    """``fresh`` chunks (with ``title``), with the ``known`` vector of the document for the same embedding text.
+
+    A document's chunks spread over the hashes of their texts, so a huge document is no single task.
+    """
+    columns = CHUNK_SCHEMA.replace(",", "").split()[0::2]
+    hashed = fresh.select(*columns, _text_hash(embedding))
+    met = hashed.join(known, ["source_id", "text_hash"], "left").withColumn("embedding", F.col("known"))
     return met.withColumn("embedding_model", F.when(F.col("known").isNotNull(), F.lit(embedding.model))).select(*columns)
 
 
 def embed_missing(
     chunks: DataFrame, documents: DataFrame, embed: EmbedFn, embedding: EmbeddingOptions
 ) -> tuple[DataFrame, int, str | None]:
-    """Vectors for chunks that have none from this model: all of them, or none and a warning."""
+    """Vectors for ``chunks`` (a written table) that have none from this model: all of them, or none and a warning.
+
+    Chunks that have one are not written again.
+    """
     columns = CHUNK_SCHEMA.replace(",", "").split()[0::2]
     marked = chunks.withColumn("pending", embedding_pending(embedding.model))
     texts = marked.where("pending").join(documents.select("source_id", "title"), "source_id").select(
@@ -156,7 +170,7 @@ def embed_missing(
     )
     tried = materialize(embed_texts(texts, embed, embedding.batch_size).drop("embed_text"), "embedded")
     failed, count = tried.agg(F.count_if(F.col("embed_error").isNotNull()), F.count(F.lit(1))).first()
-    settled = materialize(marked.where(~F.col("pending")).select(*columns), "settled")
+    settled = marked.where(~F.col("pending")).select(*columns)
     if failed:
         return settled.unionByName(tried.select(*columns)), 0, EMBEDDING_UNAVAILABLE
     renewed = tried.withColumn("embedding", F.col("vector")).withColumn("embedding_model", F.lit(embedding.model))

@@ -1,4 +1,5 @@
 import datetime
+import os
 
 import pytest
 
@@ -16,6 +17,7 @@ from lexifold import (
     status,
     write_store,
 )
+from lexifold.sources.scratch import scratch_run, shared_folder
 
 MODEL = EmbeddingOptions(model="m1", batch_size=2)
 RETURNS = markdown("iade", "## İade Süresi\n\n30 gün.\n\n## Para İadesi\n\n5 iş günü.\n")
@@ -146,3 +148,19 @@ def test_catalogue_reads(spark):
         "status": "ok", "ready": True, "documents": 3, "sections": 4, "retrieval_mode": "lexical",
         "generator_configured": True, "embedder_configured": False}
     assert status(None, spark).first()["status"] == "degraded"
+
+
+def test_chunks_with_a_vector_are_written_once(spark):
+    """Of an update only the chunks without a known vector are written again, and the known vectors go when met."""
+    before = markdown("a", "## Bir\n\nilk metin\n\n## Iki\n\nayni\n")
+    first = ingest(files(spark, a=before, b=RETURNS), empty_store(spark), embed, MODEL).store
+    with scratch_run(spark):
+        runs = f"{shared_folder(spark)}/lexifold"
+        was = set(os.listdir(runs))
+        second = ingest(files(spark, a=before + "\n## Uc\n\nyeni\n", b=RETURNS), first, embed, MODEL)
+        (run,) = {r for r in set(os.listdir(runs)) - was} or {max(os.listdir(runs), key=lambda r: os.path.getmtime(f"{runs}/{r}"))}
+        tables = [n.rsplit("-", 1) for n in os.listdir(f"{runs}/{run}")]
+        rows = {name: sum(spark.read.parquet(f"{runs}/{run}/{name}-{code}").count() for n, code in tables if n == name) for name, _ in tables}
+        assert "known-vectors" not in rows and "settled" not in rows
+        assert (rows["fresh"], rows["embedded"], second.reused_vectors) == (3, 1, 2)
+        assert second.store.chunks.where("embedding is null").isEmpty() and second.store.chunks.count() == 5
