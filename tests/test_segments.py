@@ -4,7 +4,8 @@ import os
 import random
 
 import pytest
-from helpers import queries, store
+from helpers import garden_store, queries, store
+from lexifold.plans import index as index_plan
 from lexifold.plans import segments
 from lexifold.plans.index import build_index, load_index
 from lexifold.plans.search import prepare, search
@@ -137,3 +138,24 @@ def test_no_frame_is_gone_through_anew_for_each_row(spark):
     assert "unboundedfollowing" not in numbered._jdf.queryExecution().analyzed().toString().lower()
     taken = {r.source_id: r.doc_no for r in index.versions.collect()}
     assert [taken["d2"] < r.doc_no < taken["d3"] for r in numbered.collect()] == [True]
+
+
+def test_texts_of_a_segment_are_written_in_waves(spark, monkeypatch):
+    """As many waves as documents need, each with its own part of them; the index and what is found in it are the same."""
+    documents = garden_store(spark)
+    asked = queries(spark, "anahtar parsel", "kompost")
+    written, write = [], index_plan.write_bucketed_parts
+    monkeypatch.setattr(index_plan, "write_bucketed_parts", lambda parts, *rest: written.append([p.count() for p in parts]) or write(parts, *rest))
+
+    def seen(index):
+        hits = search(index, prepare(index, asked)).hits.collect()
+        tables = [sorted(map(str, t.collect())) for t in (index.chunks, index.postings, index.terms, index.versions)]
+        return sorted(map(str, hits)), tables, index.summary.drop("built_at", "segments").collect()
+
+    whole = build_index(documents, buckets=3)
+    monkeypatch.setattr(index_plan, "DOCUMENTS_PER_WAVE", 2)
+    waves = build_index(documents, buckets=3)
+    assert seen(waves) == seen(whole)
+    n = documents.documents.count()
+    assert [len(w) for w in written] == [1, -(-n // 2)] and sum(written[0]) == sum(written[1])
+    assert "Exchange hashpartitioning" not in waves.chunks.groupBy("doc_no").count()._jdf.queryExecution().executedPlan().toString()
